@@ -5,11 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import matroska, url_filter
+from . import matroska, mixing, quality, sstable, url_filter
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written as sorted string tables and read back."""
+    shards = sstable.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return sstable.read_shards(spark, shards)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by trees learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, trees)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the curriculum takes, and when first, in training order."""
+    assigned = mixing.assign(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    first = assigned.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"), F.size("positions").alias("copies"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return first.repartitionById(n, F.coalesce(F.least(F.floor(F.col("first_position") * n), F.lit(n - 1)), F.pmod(F.col("doc_id"), F.lit(n)), F.lit(0)).cast("int")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes as a Matroska file, read back by the parser."""
     return matroska.media_digest(matroska.media_column(table(spark, sf_dir, "documents")))
@@ -21,7 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_media_columns, op10_url_filter)}
+    return {f.__name__: f for f in (op4_token_shards, op5_quality_classifier, op6_mixing, op8_media_columns, op10_url_filter)}
 
 
 def _op10_sql() -> str:
