@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, mixing, quality, sstable, url_filter
+from . import bpe, matroska, mixing, quality, sstable, url_filter
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.repartitionById(n, F.coalesce(F.least(F.floor(F.col("first_position") * n), F.lit(n - 1)), F.pmod(F.col("doc_id"), F.lit(n)), F.lit(0)).cast("int")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through the streaming BPE transducer and back through the decoder."""
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes as a Matroska file, read back by the parser."""
     return matroska.media_digest(matroska.media_column(table(spark, sf_dir, "documents")))
@@ -51,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_shards, op5_quality_classifier, op6_mixing, op8_media_columns, op10_url_filter)}
+    return {f.__name__: f for f in (op4_token_shards, op5_quality_classifier, op6_mixing, op7_streaming_bpe, op8_media_columns, op10_url_filter)}
 
 
 def _op10_sql() -> str:
