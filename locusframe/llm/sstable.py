@@ -15,14 +15,17 @@ as little-endian unsigned integers of 2 or 4 bytes, by the vocabulary's size. ``
 Bloom filter, then the index and the restart points by binary search.
 
 Tokenizing: texts are cut by the byte-level pattern into the pieces that the tokenizer would itself make,
-and each distinct piece is encoded by the tokenizers library, once in a while for all. Texts with a
+and each distinct piece is encoded by the tokenizers library's model, once in a while for all. Texts with a
 character on which the two libraries' Unicode tables may differ go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import filesystem, parts_for, shared_dir, small_batches
 
 MAGIC = b"LFSSTAB1"
@@ -214,14 +218,13 @@ class Reader:
 class PieceEncoder:
     """A byte-level BPE tokenizer of the tokenizers library with its pieces memoised (bounded)."""
 
-    MOST = 400_000
+    MOST = 800_000
 
     def __init__(self, path: str):
         import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -233,27 +236,49 @@ class PieceEncoder:
         known = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.whole = not known or bool(spec["model"].get("ignore_merges")) or bool(spec["model"].get("dropout"))
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        # fixed values: the byte-level pattern of this tokenizer, without the characters U+001C to U+001F as space
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.odd = regex.compile(r"[^\x00-\x1b\x20-՗]").search
+        letters, digits, spaces = (self._class(test) for test in (lambda k: k[0] == "L", lambda k: k[0] == "N", None))
+        # fixed values: the byte-level pattern of this tokenizer, its classes spelt out below U+0558
+        self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+").findall
+        self.odd = re.compile(f"[^\0-{chr(self.KNOWN - 1)}]").search
         self.dtype = f"<u{self.id_bytes}"
-        self.seen: dict[str, bytes] = {}
+        self.seen = _Pieces(self.tokenizer.model, "HI"[self.id_bytes // 4])
+
+    #: Code points below this one have the same classes in all Unicode versions concerned.
+    KNOWN = 0x558
+
+    @classmethod
+    def _class(cls, test) -> str:
+        """A character class of the code points whose category passes, or of white space."""
+        space = lambda c: c.isspace() and c not in "\x1c\x1d\x1e\x1f"
+        return "".join(rf"\u{c:04x}" for c in range(cls.KNOWN) if (test(unicodedata.category(chr(c))) if test else space(chr(c))))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        """Whole texts by the library."""
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
         plain = [not self.whole and not self.odd(t) and not any(a in t for a in self.added) for t in texts]
-        split = [self.pieces(t) if p else () for t, p in zip(texts, plain)]
-        missing = [p for p in set().union(*split) if p not in self.seen]
-        if len(self.seen) + len(missing) > self.MOST:
-            self.seen.clear()
-            missing = list(set().union(*split))
-        self.seen.update(zip(missing, self._encode(missing)))
-        get = self.seen.__getitem__
+        get, pieces = self.seen.__getitem__, self.pieces
         rest = iter(self._encode([t for t, p in zip(texts, plain) if not p]))
-        return [b"".join(map(get, s)) if p else next(rest) for s, p in zip(split, plain)]
+        out = [b"".join(map(get, pieces(t))) if p else next(rest) for t, p in zip(texts, plain)]
+        if len(self.seen) > self.MOST:
+            self.seen.clear()
+        return out
+
+
+class _Pieces(dict):
+    """piece -> packed ids, by the library's own model, which takes a piece's bytes as their symbols."""
+
+    def __init__(self, model, code: str):
+        super().__init__()
+        self.tokenize, self.code = model.tokenize, code
+        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
+        packed = self[piece] = array(self.code, [t.id for t in found]).tobytes()
+        return packed
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
