@@ -37,7 +37,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = mixing.assign(table(spark, sf_dir, "documents"), keep=("doc_id",))
     first = assigned.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"), F.size("positions").alias("copies"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return first.repartitionById(n, F.coalesce(F.least(F.floor(F.col("first_position") * n), F.lit(n - 1)), F.pmod(F.col("doc_id"), F.lit(n)), F.lit(0)).cast("int")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
+    part = F.when(F.col("first_position").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(F.least(F.floor(F.col("first_position") * n), F.lit(n - 1)))
+    return first.repartitionById(n, part.cast("int")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
