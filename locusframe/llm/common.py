@@ -9,6 +9,8 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 #: Rows in an Arrow batch; texts can be long, so few rows.
 ARROW_ROWS = 256
 
@@ -19,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the Python stages that this session runs from now on."""
+    """Bound the Arrow batches of the Python stages that this session runs from now on, and give them this code."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, matroska, mixing, quality, sstable, url_filter
+from . import bpe, html_extract, lz_fingerprint, matroska, mixing, probminhash, quality, sstable, url_filter
 from .common import table
 
 
@@ -18,6 +18,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates."""
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text by its host's template."""
+    return html_extract.extract(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids, written as sorted string tables and read back."""
     shards = sstable.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -51,13 +61,18 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(matroska.media_column(table(spark, sf_dir, "documents")))
 
 
+def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's phrase fingerprint beside that of its edited text and of the next document."""
+    return lz_fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL against the rules."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_shards, op5_quality_classifier, op6_mixing, op7_streaming_bpe, op8_media_columns, op10_url_filter)}
+    return {f.__name__: f for f in (op1_probminhash, op3_html_extract, op4_token_shards, op5_quality_classifier, op6_mixing, op7_streaming_bpe, op8_media_columns, op9_lz_fingerprint, op10_url_filter)}
 
 
 def _op10_sql() -> str:
