@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, lz_fingerprint, matroska, mixing, probminhash, quality, sstable, url_filter
+from . import bpe, html_extract, lz_fingerprint, matroska, mixing, probminhash, quality, sstable, suffix_dedup, url_filter
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that documents of smaller identifiers have."""
+    return suffix_dedup.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text by its host's template."""
     return html_extract.extract(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
@@ -72,7 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_probminhash, op3_html_extract, op4_token_shards, op5_quality_classifier, op6_mixing, op7_streaming_bpe, op8_media_columns, op9_lz_fingerprint, op10_url_filter)}
+    return {f.__name__: f for f in (op1_probminhash, op2_suffix_dedup, op3_html_extract, op4_token_shards, op5_quality_classifier, op6_mixing, op7_streaming_bpe, op8_media_columns, op9_lz_fingerprint, op10_url_filter)}
 
 
 def _op10_sql() -> str:
