@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -346,9 +347,8 @@ def token_column(docs: DataFrame, vocabulary: str, text_col: str = "text", decod
     small_batches(docs.sparkSession)
     added = ["token_ids", "decoded_text"][: 1 + decode]
     src = docs.drop(*added)
-    schema = src.schema.add("token_ids", "array<int>")
-    if decode:
-        schema = schema.add("decoded_text", "string")
+    fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_text", T.StringType())]
+    schema = T.StructType([*src.schema.fields, *fields[: len(added)]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +60,26 @@ def filesystem(uri: str):
 
 
 def parts_for(df: DataFrame, mb: float, least: int = 1) -> int:
-    """Partitions so that each gets about ``mb`` MB of the plan's estimated size; grows with the input."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = min(size, 1 << 50)
-    return max(least, int(os.environ.get("LOCUSFRAME_LEAST_PARTS", "0")), -(-size // int(mb * 1e6)))
+    """Partitions so that each gets about ``mb`` MB of what the plan reads, by the plan's own estimate.
+
+    Only the plan's leaves count: estimates above joins multiply. Leaves of unknown size count as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return max(least, -(-sum(n for n in sizes if n < 1 << 50) // int(mb * 1e6)))
+
+
+def chunks(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, end) of neighbouring texts of about ``most`` characters together; a longer one is alone."""
+    first = held = 0
+    for k, t in enumerate(texts):
+        n = len(t) if t else 0
+        if k > first and held + n > most:
+            yield first, k
+            first, held = k, 0
+        held += n
+    if first < len(texts):
+        yield first, len(texts)
 
 
 _MULT1 = np.uint64(0xBF58476D1CE4E5B9)

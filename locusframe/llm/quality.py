@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, utf8
 
@@ -221,13 +222,17 @@ def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text_col:
     Equal texts get equal scores; repeated rows stay; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
+    src = docs.select(*[F.col(c) for c in keep if c not in ("score", "predicted")])
+    own = src.columns
+    if text_col not in own:
+        src = docs.select(*own, F.col(text_col).alias("__text"))
+    at = text_col if text_col in own else "__text"
+    schema = T.StructType([*docs.select(*own).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     model = docs.sparkSession.sparkContext.broadcast(trees)  # its size is bounded by rounds and depth
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.value.score(statistics(batch.column("__text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
+            s = model.value.score(statistics(batch.column(at).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*own, "score", "predicted"])
 
-    return src.mapInArrow(work, f"{fields}score double, predicted int")
+    return src.mapInArrow(work, schema)
