@@ -26,14 +26,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import cut, small_batches
 from .url_filter import split_url
 
 #: A class needs so many tokens, and each of them so many pages and such a share of the host's pages.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 3, 0.2
 #: Inside the main part, a constant text run is boilerplate with so many pages and such a share of them.
 CONSTANT_PAGES, CONSTANT_SHARE = 20, 0.95
+#: Templates of hosts with such a share of all pages are sent to every task; other pages meet theirs by a join.
+HOT_SHARE = 0.002
+#: Templates that a task keeps unpacked.
+MOST_TEMPLATES = 5000
 
 _MARKUP = re.compile(
     r"(?s)<!--(?:.*?-->|.*)"
@@ -241,6 +246,7 @@ def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     tokens = counted.groupBy("host", "key").agg(
         F.pmod(low, F.lit(1 << 32)).alias("low"), F.sum("high").alias("high"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("place").alias("place")
     )
+    tokens = cut(tokens.where((F.col("key") == 0) | (F.col("pages") >= least_pages)))  # the pages are parsed once for both uses
     hosts = tokens.where("key = 0").select("host", F.col("pages").alias("all_pages"))
     frequent = tokens.where((F.col("key") != 0) & (F.col("pages") >= least_pages)).join(hosts, "host").where(F.col("pages") >= least_share * F.col("all_pages"))
     classes = frequent.groupBy("host", "low", "high", "pages", "times").agg(F.count(F.lit(1)).alias("size"), F.first("all_pages").alias("all_pages"), F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "key"))).alias("members"))
@@ -248,6 +254,11 @@ def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     return classes.groupBy("host").agg(F.first("all_pages").alias("pages"), F.sort_array(F.collect_list(F.struct(F.col("pages").alias("support"), "low", "high", "times", F.col("members.key").alias("keys"))), asc=False).alias("classes"))
 
 
+def large_of(pages_col: str, total: int) -> F.Column:
+    """Hosts with so many of all pages that there are only ``1 / HOT_SHARE`` of them at most."""
+    return F.col(pages_col) >= HOT_SHARE * total
+
+
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", keep: Sequence[str] | None = None) -> DataFrame:
     """``keep`` columns (all but the HTML, if None), text and n_chars (code points) of every page.
 
@@ -256,26 +267,32 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
     Repeated rows stay; an empty table gives no rows; columns of ``pages`` named text or n_chars are replaced.
     """
     small_batches(pages.sparkSession)
-    templates = deduce_templates(pages, url_col, html_col, id_col)
+    templates = cut(deduce_templates(pages, url_col, html_col, id_col))
+    total = templates.agg(F.sum("pages")).first()[0] or 0
     keep = [c for c in (pages.columns if keep is None else keep) if c not in (html_col, "text", "n_chars")]
     host = F.coalesce(F.translate(F.regexp_extract(F.col(url_col), "(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
     src = pages.select(*[F.col(c) for c in keep], F.col(html_col).alias("__html"), host.alias("__host"))
-    src = src.join(templates.select(F.col("host").alias("__host"), F.col("pages").alias("__pages"), F.col("classes").alias("__classes")), "__host", "left").drop("__host")
-    schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
+    found = templates.select(F.col("host").alias("__host"), F.col("pages").alias("__pages"), F.col("classes").alias("__classes"))
+    hot = F.broadcast(found.where(large_of("__pages", total)))
+    src = src.join(hot, "__host").unionByName(src.join(hot.select("__host"), "__host", "left_anti").join(found.where(~large_of("__pages", total)), "__host", "left"))
+    schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last = None, None
+        known: dict[str, Template] = {}
         for batch in batches:
             texts = []
-            for page, count, classes in zip(*(batch.column(c).to_pylist() for c in ("__html", "__pages", "__classes"))):
-                if count is None:
+            counts, classes = batch.column("__pages"), batch.column("__classes")
+            for k, (page, host) in enumerate(zip(batch.column("__html").to_pylist(), batch.column("__host").to_pylist())):
+                if not counts[k].is_valid:
                     texts.append(main_text(page or ""))
                     continue
-                key = (count, len(classes), classes[0]["low"], classes[0]["high"], classes[-1]["low"])
-                if key != last_key:  # pages of a host come together: its template is unpacked once
-                    tokens = {k: (c, p) for c, x in enumerate(classes) for p, k in enumerate(x["keys"])}
-                    last_key, last = key, Template(tokens, tuple(x["support"] for x in classes), count)
-                texts.append(main_text(page or "", last))
+                if host not in known:
+                    if len(known) >= MOST_TEMPLATES:
+                        known.clear()
+                    found = classes[k].as_py()
+                    tokens = {key: (c, place) for c, x in enumerate(found) for place, key in enumerate(x["keys"])}
+                    known[host] = Template(tokens, tuple(x["support"] for x in found), counts[k].as_py())
+                texts.append(main_text(page or "", known[host]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     return src.mapInArrow(work, schema)
