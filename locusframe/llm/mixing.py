@@ -130,7 +130,7 @@ def assign(
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     if docs.isEmpty():
         return docs.select(*keep).withColumns({"size": F.lit(0).cast("long"), "source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long"), "positions": F.array().cast("array<double>")})
-    bits = max(4, min(40, math.ceil(math.log2(8 * parts_for(docs, 16.0, least=2)))))
+    bits = max(4, min(40, math.ceil(math.log2(8 * parts_for(docs, 16.0, least=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
     sized = docs.select(
         *[F.col(c) for c in keep],
         _key(source_col).alias("__s"),
