@@ -1,6 +1,8 @@
 """MinHash near-duplicates by ProbMinHash.
 
-A document's shingles (five words) are weighted by how often they occur. Every shingle is a Poisson process
+A document's shingles (five words) are weighted by how often they occur, damped to 1 + ln(count): with bare
+counts a line repeated hundreds of times would make unlike documents alike. Where no shingle recurs, the
+similarity is the Jaccard similarity of the shingle sets. Every shingle is a Poisson process
 whose rate is its weight: exponential arrivals, each at a random signature component; a component keeps the
 shingle that arrives first. Two signatures agree in a component with the probability Jaccard similarity of
 the two weighted sets. A shingle's arrivals end early, once they come later than every component's first.
@@ -8,8 +10,9 @@ the two weighted sets. A shingle's arrivals end early, once they come later than
 Signatures are cut into bands. Texts that share a band are candidates: each first with the band's smallest
 member (a star, so a band of n texts gives n - 1 pairs), then, after components are known, the pairs between
 different components that a star has not seen, so no link that joins two classes is lost and no band is
-spelt out into all pairs. Candidates whose signatures agree too little are passed over; the others are
-verified by their exact similarity from the whole texts. Exact copies are one node from the start.
+spelt out into all pairs: members of a large band meet in blocks, and only links that join components leave
+them. Candidates whose signatures agree too little are passed over; the others are verified by their exact
+similarity from the whole texts. Exact copies are one node from the start.
 """
 
 from __future__ import annotations
@@ -23,17 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, small_batches
+from .common import chunks, cut, mix64, small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Bands and rows: at a similarity of 0.8 all bands differ for 7 of a million pairs.
 BANDS, ROWS = 30, 5
 #: Members of a band up to which unseen pairs come from a self-join; beyond, they are compared in blocks.
-SMALL_BAND, BLOCK = 16, 1024
+SMALL_BAND, BLOCK = 16, 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0x632BE59BD9B4E019)
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
 
 class _WordHashes(dict):
@@ -77,11 +80,16 @@ def weighted_shingles(texts: Sequence[str | None], words: int = WORDS) -> tuple[
     return text[at], mixed[at], np.diff(np.append(at, len(text)))
 
 
-def signatures(texts: int, text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, components: int = BANDS * ROWS) -> np.ndarray:
+def weight_of(count: np.ndarray) -> np.ndarray:
+    """A shingle's weight by its occurrences."""
+    return 1 + np.log(count)
+
+
+def signatures(texts: int, text: np.ndarray, shingle: np.ndarray, count: np.ndarray, components: int = BANDS * ROWS) -> np.ndarray:
     """A row of ``components`` 32-bit values for each of ``texts`` texts; texts without shingles have zeros."""
     first = np.full(texts * components, np.inf)
     winner = np.zeros(texts * components, np.uint64)
-    seed, rate, doc = shingle.copy(), weight.astype(np.float64), text
+    seed, rate, doc = shingle.copy(), weight_of(count), text
     time = np.zeros(len(doc))
     worst = np.full(texts, np.inf)
     arrival, block = 0, 1
@@ -117,7 +125,7 @@ def _exact(sa: np.ndarray, ca: np.ndarray, sb: np.ndarray, cb: np.ndarray) -> fl
         return 0.0
     every, inverse = np.unique(np.concatenate((sa, sb)), return_inverse=True)
     x, y = np.zeros(len(every)), np.zeros(len(every))
-    x[inverse[: len(sa)]], y[inverse[len(sa) :]] = ca, cb
+    x[inverse[: len(sa)]], y[inverse[len(sa) :]] = weight_of(ca), weight_of(cb)
     both = (x > 0) & (y > 0)
     if not both.any():
         return 0.0
@@ -138,20 +146,23 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            text, shingle, count = weighted_shingles(texts, words)
-            rows = signatures(len(texts), text, shingle, count, components)
-            has = np.zeros(len(texts), bool)
-            has[text] = True
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array([r.tobytes() if h else None for r, h in zip(rows, has)], pa.binary())], names=["id", "key", "signature"])
+            packed: list[bytes | None] = []
+            for lo, hi in chunks(texts):
+                text, shingle, count = weighted_shingles(texts[lo:hi], words)
+                rows = signatures(hi - lo, text, shingle, count, components)
+                has = np.zeros(hi - lo, bool)
+                has[text] = True
+                packed += [r.tobytes() if h else None for r, h in zip(rows, has)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(packed, pa.binary())], names=["id", "key", "signature"])
 
     signed = src.mapInArrow(work, "id long, key binary, signature binary")
     return cut(signed.groupBy("key").agg(F.min("id").alias("least"), F.first("signature").alias("signature")).select(F.monotonically_increasing_id().alias("node"), "key", "least", "signature"))
 
 
 def _bands(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(band, node): band is a hash of the band's number and values."""
+    """(band, number, node): band is a hash of the band's number and values."""
     parts = [F.xxhash64(F.lit(b), F.substring("signature", b * rows * 4 + 1, rows * 4)) for b in range(bands)]
-    return signed.where("signature is not null").select("node", F.explode(F.array(*parts)).alias("band"))
+    return signed.where("signature is not null").select("node", F.posexplode(F.array(*parts)).alias("number", "band"))
 
 
 def _agree(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
@@ -168,12 +179,48 @@ def _agree(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
+def _texts(wanted: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of some nodes: that of the document with the node's smallest identifier."""
+    needed = wanted.join(signed.select("node", "key", "least"), "node")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), _key(text_col).alias("key"), F.col(text_col).alias("text"))
+    return texts.join(needed, (texts["key"] == needed["key"]) & texts["least"].eqNullSafe(needed["least"])).select("node", "text")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles, counts): each text's weighted shingles, packed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, packed = batch.column("text").to_pylist(), ([], [])
+            for lo, hi in chunks(own):
+                text, shingle, count = weighted_shingles(own[lo:hi], words)
+                bounds = np.searchsorted(text, np.arange(hi - lo + 1))
+                for a, b in zip(bounds, bounds[1:]):
+                    packed[0].append(shingle[a:b].tobytes())
+                    packed[1].append(count[a:b].astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], names=["node", "shingles", "counts"])
+
+    return texts.mapInArrow(work, "node long, shingles binary, counts binary")
+
+
+def _likeness_to(shingles: np.ndarray, counts: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The exact similarity of one weighted set to others, together where all counts are 1."""
+    sizes = np.array([len(s) for s, _ in others])
+    joined = np.concatenate([s for s, _ in others])
+    at = np.minimum(np.searchsorted(shingles, joined), len(shingles) - 1)
+    common = np.add.reduceat(shingles[at] == joined, np.cumsum(sizes) - sizes)
+    out = common / (len(shingles) + sizes - common)
+    plain = bool((counts == 1).all())
+    for k, (s, c) in enumerate(others):
+        if common[k] and not (plain and (c == 1).all()):
+            out[k] = _exact(shingles, counts, s, c)
+    return out
+
+
 def _verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, words: int) -> DataFrame:
     """The pairs of texts with that similarity, each once; one document's text stands for each node."""
     pairs = cut(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(signed.select("node", "key", "least"), "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), _key(text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = texts.join(needed, (texts["key"] == needed["key"]) & texts["least"].eqNullSafe(needed["least"])).select("node", "text")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), signed, docs, id_col, text_col)
     side = lambda c, t: texts.select(F.col("node").alias(c), F.col("text").alias(t))
     both = pairs.join(side("b", "tb"), "b").join(side("a", "ta"), "a")
 
@@ -181,15 +228,16 @@ def _verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, t
         last, own = None, None
         for batch in batches:
             keep = []
-            a_ids = batch.column("a").to_pylist()
-            text, shingle, count = weighted_shingles(batch.column("tb").to_pylist(), words)
-            bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            for k, a in enumerate(a_ids):
-                if own is None or a != last:
-                    _, sa, ca = weighted_shingles([batch.column("ta")[k].as_py()], words)
-                    last, own = a, (sa, ca)
-                lo, hi = bounds[k], bounds[k + 1]
-                keep.append(_exact(*own, shingle[lo:hi], count[lo:hi]) >= similarity - 1e-9)
+            a_ids, others = batch.column("a").to_pylist(), batch.column("tb").to_pylist()
+            for first, end in chunks(others):
+                text, shingle, count = weighted_shingles(others[first:end], words)
+                bounds = np.searchsorted(text, np.arange(end - first + 1))
+                for k in range(first, end):
+                    if own is None or a_ids[k] != last:
+                        _, sa, ca = weighted_shingles([batch.column("ta")[k].as_py()], words)
+                        last, own = a_ids[k], (sa, ca)
+                    lo, hi = bounds[k - first], bounds[k - first + 1]
+                    keep.append(_exact(*own, shingle[lo:hi], count[lo:hi]) >= similarity - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long").distinct())
@@ -209,39 +257,61 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("l").alias("label"))
 
 
-def _unseen(members: DataFrame, labels: DataFrame, signed: DataFrame, least: int) -> DataFrame:
-    """Pairs of one band in different components that no star has: neither is the band's smallest member."""
-    own = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+def _links_in(rows: pd.DataFrame, least: int, similarity: float, height: int) -> list[tuple[int, int]]:
+    """Links between members of one band, enough of them to join all components that links join.
+
+    Members are compared across components only, by signature and then by their whole weighted sets; a pair
+    that shares an earlier band is left to it.
+    """
+    rows = rows.sort_values("node", ignore_index=True)
+    signature = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
+    sets = [(np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64)) for s, c in zip(rows["shingles"], rows["counts"])]
+    node, block, number = rows["node"].to_numpy(), rows["block"].to_numpy(), int(rows["number"].iloc[0])
+    _, component, sizes = np.unique(rows["label"].to_numpy(), return_inverse=True, return_counts=True)
+    largest = component == sizes.argmax()
+    two = rows["p"].iloc[0] != rows["q"].iloc[0]
+    out = []
+    for k in np.flatnonzero(~largest):  # pairs inside the largest component need no comparison
+        other = (component != component[k]) & (largest | (node > node[k]))
+        if two:
+            other &= block != block[k]
+        at = np.flatnonzero(other)
+        agree = signature[at] == signature[k]
+        near = agree.sum(1) >= least
+        at, agree = at[near], agree[near]
+        at = at[agree.reshape(len(at), -1, height).all(2).argmax(1) == number] if len(at) else at
+        if not len(at):
+            continue
+        linked = at[_likeness_to(*sets[k], [sets[j] for j in at]) >= similarity - 1e-9]
+        for c in np.unique(component[linked]):
+            j = linked[component[linked] == c][0]
+            out.append((min(node[k], node[j]), max(node[k], node[j])))
+            component[component == c] = component[k]
+    return out
+
+
+def _more_links(members: DataFrame, labels: DataFrame, signed: DataFrame, docs: DataFrame, least: int, similarity: float, words: int, height: int, id_col: str, text_col: str) -> DataFrame:
+    """Links that no star has seen: between members of one band in different components, neither its smallest member."""
+    own = members.join(labels, "node", "left").select("band", "number", "node", F.coalesce("label", "node").alias("label"))
     open_ = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low < high").select("band", "n", "pivot")
-    rest = cut(own.join(open_, "band").where("node <> pivot").select("band", "node", "label", "n"))
+    rest = cut(own.join(open_, "band").where("node <> pivot").select("band", "number", "node", "label", "n"))
     small = rest.where(F.col("n") <= SMALL_BAND)
     x = small.select("band", F.col("node").alias("a"), F.col("label").alias("la"))
     y = small.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
     few = _agree(x.join(y, "band").where("a < b and la <> lb").select("a", "b").distinct(), signed, least)
-    # large bands: every pair of blocks of members is compared in one task
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = rest.where(F.col("n") > SMALL_BAND).withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-    large = large.select("band", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
-    large = large.select("band", "node", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(signed.select("node", "signature"), "node")
+    few = _verify(few, signed, docs, id_col, text_col, similarity, words)
+    # large bands: each pair of blocks of members is one group, compared and verified in place
+    large = rest.where(F.col("n") > SMALL_BAND).withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    large = large.select("band", "number", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    large = large.select("band", "number", "node", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    sets = cut(_sets(_texts(large.select("node").distinct(), signed, docs, id_col, text_col), words).dropDuplicates(["node"]))
+    large = large.join(sets, "node").join(signed.select("node", "signature"), "node")
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        signature = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
-        node, label, block = (rows[c].to_numpy() for c in ("node", "label", "block"))
-        names, which, sizes = np.unique(label, return_inverse=True, return_counts=True)
-        largest = which == sizes.argmax()
-        two = rows["p"].iloc[0] != rows["q"].iloc[0]
-        out = []
-        for k in np.flatnonzero(~largest):  # pairs inside one component need no comparison
-            other = (label != label[k]) & (largest | (node > node[k]))
-            if two:
-                other &= block != block[k]
-            other &= (signature == signature[k]).sum(1) >= least
-            out += [(min(node[k], node[j]), max(node[k], node[j])) for j in np.flatnonzero(other)]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(_links_in(rows, least, similarity, height), columns=["a", "b"], dtype="int64")
 
     many = large.groupBy("band", "p", "q").applyInPandas(work, "a long, b long")
-    return few.union(many).distinct()
+    return cut(few.union(many).distinct())
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,11 +331,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     stars = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     edges = _verify(_agree(stars, signed, least), signed, docs, id_col, text_col, similarity, words)
     labels = components(edges)
-    unseen = cut(_unseen(shared.select("band", "node"), labels, signed, least))
-    if not unseen.isEmpty():
-        more = _verify(unseen, signed, docs, id_col, text_col, similarity, words)
-        if not more.isEmpty():
-            labels = components(edges.union(more))
+    more = _more_links(shared.select("band", "number", "node"), labels, signed, docs, least, similarity, words, rows, id_col, text_col)
+    if not more.isEmpty():
+        labels = components(edges.union(more))
     labelled = signed.select("node", "key", "least").join(labels, "node", "left").select("key", "least", F.coalesce("label", "node").alias("label"))
     classes = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
     of_text = labelled.join(classes, "label").select("key", "class_id")
