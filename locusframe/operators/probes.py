@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,42 +144,38 @@ def fragment_islands(parts: DataFrame) -> DataFrame:
     return marked.withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
 
 
-def merge_fragments(rows: list[tuple[int, int, str]]) -> tuple[int, int, int, str] | None:
-    """(local start, end, offset to global, sequence) of (local start, global start, sequence) rows; None if they conflict."""
-    first = min(a for a, _, _ in rows)
-    last = max(a + len(s) for a, _, s in rows)
-    merged: list[str | None] = [None] * (last - first)
-    offset = rows[0][1] - rows[0][0]
-    for a, g, s in rows:
-        if g - a != offset:
-            return None
-        for k, base in enumerate(s, a - first):
-            if merged[k] not in (None, base):
-                return None
-            merged[k] = base
-    return None if None in merged else (first, last, offset, "".join(merged))
+def merged_islands(marked: DataFrame) -> DataFrame:
+    """Each island as one sequence; ``ok`` is false where coordinates or overlapping bases conflict.
+
+    Fragments are laid on each other in order of their start: each must agree with what is already there.
+    """
+    offset = F.col("global_start") - F.col("local_start")
+    part = F.struct("local_start", "local_end", "id", "sequence")
+    grouped = marked.groupBy(*FRAGMENT_KEY, "island").agg(
+        F.array_sort(F.collect_list(part)).alias("parts"), F.min(offset).alias("offset"), F.max(offset).alias("other"), F.min("local_start").alias("local_start"), F.max("local_end").alias("local_end"), F.min(F.struct("local_start", "local_end", "id")).alias("first")
+    )
+
+    def lay(acc: Column, x: Column) -> Column:
+        at = (x["local_start"] - F.col("local_start")).cast("int")
+        lap = F.least(F.length(acc["seq"]) - at, F.length(x["sequence"]))
+        agrees = F.substring(acc["seq"], at + 1, lap) == F.substring(x["sequence"], F.lit(1), lap)
+        return F.struct(F.concat(acc["seq"], F.substring(x["sequence"], lap + 1, F.length(x["sequence"]))).alias("seq"), (acc["ok"] & agrees).alias("ok"))
+
+    laid = F.aggregate("parts", F.struct(F.lit("").alias("seq"), F.lit(True).alias("ok")), lay)
+    out = grouped.withColumn("laid", laid)
+    return out.select(*FRAGMENT_KEY, "island", "local_start", "local_end", "offset", F.col("first.id").alias("id"), F.col("laid.seq").alias("sequence"), (F.col("laid.ok") & (F.col("offset") == F.col("other"))).alias("ok"))
 
 
 def full_probes(records: DataFrame) -> DataFrame:
     """For each locus and source, the longest island of probes that merges without conflict.
 
-    A group in which no island merges is an error.
+    Ties go to the smaller first name. A group in which no island merges is an error.
     """
-    marked = fragment_islands(fragments(records))
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["local_start", "local_end", "id"], kind="stable")
-        islands = [g for _, g in rows.groupby("island", sort=True)]
-        islands.sort(key=lambda g: (-(g["local_end"].max() - g["local_start"].min()), g["id"].iloc[0], g["local_start"].iloc[0]))
-        for g in islands:
-            merged = merge_fragments(list(zip(g["local_start"], g["global_start"], g["sequence"])))
-            if merged is not None:
-                a, b, offset, sequence = merged
-                key = {k: rows[k].iloc[0] for k in FRAGMENT_KEY}
-                return pd.DataFrame([{**key, "local_start": a, "local_end": b, "global_start": a + offset, "global_end": b + offset, "sequence": sequence}])
-        raise ValueError(f"conflicting probes of locus {rows['locus'].iloc[0]}")
-
-    schema = ", ".join(f"{k} string" for k in FRAGMENT_KEY) + ", local_start long, local_end long, global_start long, global_end long, sequence string"
-    merged = marked.groupBy(*FRAGMENT_KEY).applyInPandas(kernel, schema)
+    islands = merged_islands(fragment_islands(fragments(records)))
+    rank = F.struct(~F.col("ok"), F.col("local_start") - F.col("local_end"), "id", "local_start")
+    value = F.struct("ok", "local_start", "local_end", "offset", "sequence")
+    best = islands.groupBy(*FRAGMENT_KEY).agg(F.min_by(value, rank).alias("v"))
+    sequence = F.when(F.col("v.ok"), F.col("v.sequence")).otherwise(F.raise_error(F.concat(F.lit("conflicting probes of locus "), "locus")).cast("string"))
+    merged = best.select(*FRAGMENT_KEY, "v.local_start", "v.local_end", (F.col("v.local_start") + F.col("v.offset")).alias("global_start"), (F.col("v.local_end") + F.col("v.offset")).alias("global_end"), sequence.alias("sequence"))
     order = Window.partitionBy("locus").orderBy("source", "chromo", "design", "designer")
     return merged.withColumn("probe", F.row_number().over(order))
