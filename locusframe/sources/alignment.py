@@ -76,37 +76,45 @@ def parse_nexus(text: str) -> Rows:
     return _gather(rows())
 
 
+def _label(line: str, strict: bool) -> tuple[str, str]:
+    """A row's name and the bases after it; strict names have ten columns."""
+    name, bases = (line[:10], line[10:]) if strict else (line.split(None, 1) + [""])[:2]
+    return name.strip(), "".join(bases.split())
+
+
+def _sequential(lines: list[str], taxa: int, width: int, strict: bool) -> Rows:
+    """One row after the other, each over as many lines as it takes."""
+    rows, left = [], iter(lines)
+    for _ in range(taxa):
+        name, bases = _label(next(left, ""), strict)
+        while len(bases) < width and (more := next(left, None)) is not None:
+            bases += "".join(more.split())
+        rows.append((name, bases))
+    return rows + [("", x) for x in left]
+
+
+def _interleaved(lines: list[str], taxa: int, strict: bool) -> Rows:
+    """Blocks of one line a row; later blocks may repeat the names."""
+    rows = [_label(line, strict) for line in lines[:taxa]]
+    for at in range(taxa, len(lines), taxa):
+        for k, line in enumerate(lines[at : at + taxa]):
+            name, bases = _label(line, strict)
+            rows[k] = (rows[k][0], rows[k][1] + (bases if name == rows[k][0] and bases else "".join(line.split())))
+    return rows
+
+
 def parse_phylip(text: str, strict: bool = False) -> Rows:
-    """Sequential or interleaved; later blocks may repeat the labels, indent, or leave them out."""
+    """Rows in blocks or one after the other: the reading that gives the dimensions of the first line."""
     lines = [x for x in text.splitlines() if x.strip()]
-    if not lines:
-        raise ValueError("the file is empty")
+    if not lines or len(lines[0].split()) < 2:
+        raise ValueError("no PHYLIP dimensions")
     taxa, width = (int(x) for x in lines[0].split()[:2])
     if taxa < 1:
         raise ValueError("there must be a taxon")
-    parts: dict[str, str] = {}
-    order: list[str] = []
-    turn = 0
-    for line in lines[1:]:
-        label, chunk = (line[:10].strip(), "".join(line[10:].split())) if strict else ((line.split() or [""])[0], "".join(line.split()[1:]))
-        named = bool(label and chunk) and (label in parts or (len(order) < taxa and not line[0].isspace()))
-        if named and len(order) < taxa and label not in parts and order and len(parts[order[-1]]) < width and not strict and len(label) > 10 and set(label.upper()) <= set("ACGTRYSWKMBDHVNX-?."):
-            named = False  # a sequential row that goes on, in blocks of bases
-        if named:
-            if label not in parts:
-                order.append(label)
-            parts[label] = parts.get(label, "") + chunk
-            turn = (order.index(label) + 1) % taxa
-            continue
-        if not order:
-            raise ValueError("sequence data before the first name")
-        if len(order) < taxa:
-            turn = next((k for k, x in enumerate(order) if len(parts[x]) < width), len(order) - 1)
-        parts[order[turn]] += "".join(line.split())
-        turn = (turn + 1) % taxa
-    if len(order) != taxa or any(len(parts[x]) != width for x in order):
-        raise ValueError(f"expected {taxa} rows of {width} characters")
-    return [(x, parts[x]) for x in order]
+    for rows in (_interleaved(lines[1:], taxa, strict), _sequential(lines[1:], taxa, width, strict)):
+        if len(rows) == taxa and all(name and len(bases) == width for name, bases in rows):
+            return rows
+    raise ValueError(f"expected {taxa} rows of {width} characters")
 
 
 def parse_clustal(text: str) -> Rows:
