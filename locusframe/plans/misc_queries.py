@@ -104,3 +104,12 @@ def sort_bootstraps(p: Proxy) -> DataFrame:
     drawn = p.orders.select(F.floor(F.col("o_orderkey") / 50).alias("replicate"), (F.col("o_orderkey") % 50).alias("slot"), F.concat(F.lit("locus_"), F.col("o_custkey") % 7).alias("locus"))
     lines = p.lineitem.select(F.concat(F.lit("locus_"), F.col("l_suppkey") % 7).alias("locus"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.concat(F.lit("tree_"), "l_orderkey", F.lit("_"), "l_linenumber").alias("newick"))
     return trees.sort_bootstraps(drawn, lines)
+
+
+@query(sql="""SELECT 'NODE_' || CAST(p_partkey AS VARCHAR) || '_length_' || CAST(p_size AS VARCHAR) || '_cov_' || CAST(p_size % 7 AS VARCHAR) AS id,
+    regexp_replace(repeat(translate(md5(p_name), '0123456789abcdef', 'ACGTACGTACGTRYkm'), 4), '[RYkm]', 'N', 'g') AS sequence FROM part WHERE p_size > 0""")
+def assembler_contigs(p: Proxy) -> DataFrame:
+    from ..operators.convert import assembler_contigs as convert
+
+    header = F.concat_ws(" ", F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), (F.col("p_size") % 7).cast("string"))
+    return convert(p.part.where("p_size > 0").select(header.alias("description"), F.repeat(F.translate(F.md5("p_name"), "0123456789abcdef", "ACGTACGTACGTRYkm"), F.lit(4)).alias("sequence")))

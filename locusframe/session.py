@@ -27,3 +27,42 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f.relative_to(_ROOT.parent))
     sc.addPyFile(path)
     sc._locusframe_shipped = True
+
+
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions over the kernels: tree topologies, rerooting, leaves, tiles and charsets."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from .operators import trees
+    from .sources.alignment import parse_charsets
+
+    ship_package(spark)
+
+    @F.pandas_udf("string")
+    def tree_topology(newick, outgroup):
+        return newick.combine(outgroup, trees.topology_key)
+
+    @F.pandas_udf("string")
+    def tree_reroot(newick, leaf):
+        return newick.combine(leaf, lambda t, x: trees.write_tree(trees.reroot(trees.parse_tree(t), x)))
+
+    @F.pandas_udf("array<string>")
+    def tree_leaves(newick):
+        return newick.map(lambda t: sorted(trees.leaves(trees.parse_tree(t))))
+
+    @F.udtf(returnType="k int, start long, end long")
+    class FlushTiles:
+        def eval(self, length: int, probe: int, stride: int):
+            for k, start in enumerate(range(0, length, stride)):
+                yield k + 1, start, start + probe
+
+    @F.udtf(returnType=T.StructType([T.StructField("name", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+    class Charsets:
+        def eval(self, text: str):
+            yield from parse_charsets(text)
+
+    for f in (tree_topology, tree_reroot, tree_leaves):
+        spark.udf.register(f.__name__, f)
+    spark.udtf.register("flush_tiles", FlushTiles)
+    spark.udtf.register("charsets", Charsets)

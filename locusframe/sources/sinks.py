@@ -81,3 +81,8 @@ def nexus_files(aln: DataFrame, interleave: bool | None = None) -> DataFrame:
 def legacy_summary(summary: DataFrame) -> DataFrame:
     """A summary under the column names of the classic files."""
     return summary.select(*[F.col(c).alias(LEGACY_NAMES.get(c, c)) for c in summary.columns])
+
+
+def write_matches(matches: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The long match table as Parquet, partitioned by taxon, so that a taxon's reads prune to its files."""
+    matches.repartition("taxon").sortWithinPartitions("uce").write.mode(mode).partitionBy("taxon").parquet(path)
