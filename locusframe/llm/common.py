@@ -98,3 +98,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def utf8(text: str | None) -> bytes:
     """A text's bytes; null is the empty text."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def pack40(values: np.ndarray) -> bytes:
+    """The lower 40 bits of each uint64."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpack40(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(np.uint64)

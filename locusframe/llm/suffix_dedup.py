@@ -29,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, parts_for, small_batches, utf8
+from .common import mix64, pack40, parts_for, small_batches, unpack40, utf8
 
 LENGTH = 50
 GRAM = 26
 #: A difference cover: every difference mod 7 is one of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Suffixes sorted at a time, and bytes of text whose entries are aggregated before they leave a task.
-BLOCK, GATHER = 1 << 19, 12 << 20
+BLOCK, GATHER = 1 << 19, 16 << 20
 #: MB of a plan's estimated size for each bucket.
-BUCKET_MB = 4.0
+BUCKET_MB = 8.0
+LEAST_BUCKETS = 64
 _PIECE = 1 << 20
 _NULL_ID = (1 << 63) - 1
 
@@ -151,8 +152,8 @@ def same_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) ->
     return out
 
 
-def repeated_starts(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, at which of its starts the next ``length`` bytes also start in a text of a smaller owner."""
+def repeated_spans(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, begin, end) of the bytes that strings of ``length`` cover which also start in a text of a smaller owner."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes + 8) - (sizes + 8)
     data = np.frombuffer(b"".join([t + b"\0" * 8 for t in texts]) + b"\0" * 8, np.uint8)
@@ -163,14 +164,18 @@ def repeated_starts(texts: list[bytes], owners: np.ndarray, length: int = LENGTH
     starts = np.maximum(sizes - length + 1, 0)
     total = int(starts.sum())
     wanted = np.repeat(begins - (np.cumsum(starts) - starts), starts) + np.arange(total)
-    hit = np.zeros(len(words), bool)
+    hit = np.zeros(len(words) + 1, bool)  # a text's last starts are no hits, so runs don't cross texts
     for at in suffix_blocks(words, ends, wanted):
         new = np.ones(len(at), bool)
         new[1:] = ~same_prefix(words, at[1:], at[:-1], length)
         run = np.flatnonzero(new)
         own = owners[text[at]]
         hit[at] = np.repeat(np.minimum.reduceat(own, run), np.diff(np.append(run, len(at)))) < own
-    return [hit[b : b + n] for b, n in zip(begins, starts)]
+    edge = np.flatnonzero(hit[1:] != hit[:-1]) + 1
+    if len(hit) and hit[0]:
+        edge = np.concatenate(([0], edge))
+    first, last = edge[::2], edge[1::2]
+    return text[first], first - begins[text[first]], last - begins[text[first]] + length - 1
 
 
 # -- minimisers ------------------------------------------------------------------------------------------
@@ -234,179 +239,213 @@ def _minimisers(pieces: list[tuple[int, int, bytes]], length: int, gram: int) ->
 
 # -- the distributed operator ----------------------------------------------------------------------------
 
+_LOW = np.uint64((1 << 40) - 1)
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """By the upper 24 bits; the lower 40 travel. Hashes that only look alike cost a comparison, no result."""
+    return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+
+
+def squeeze(raw: bytes) -> bytes:
+    """Compressed bytes after their length: text that is shuffled takes less room than by the shuffle's own codec."""
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else b""
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), asbytes=True) if data else b""
+
+
+def pack_ascending(values: np.ndarray) -> bytes:
+    """Ascending int64 as the first and steps of the narrowest type that holds them."""
+    if not len(values):
+        return b""
+    steps = np.diff(values).astype(np.uint64)
+    kind = np.min_scalar_type(int(steps.max(initial=0)))
+    return bytes((kind.itemsize,)) + values[:1].astype("<i8").tobytes() + steps.astype(kind).tobytes()
+
+
+def unpack_ascending(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    steps = np.frombuffer(data, f"<u{data[0]}", offset=9).astype(np.uint64)
+    return np.cumsum(np.concatenate((np.frombuffer(data, "<u8", 1, 1), steps))).astype(np.int64)
+
+
+def _pack_ts(ts: np.ndarray) -> bytes:
+    return ts.tobytes() if ts.any() else b""
+
+
+def _unpack_ts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.int64) if data else np.zeros(n, np.int64)
+
 
 def _gathered(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int = GATHER) -> Iterator[list[tuple]]:
-    """Rows of several batches together, up to about ``most`` bytes of text."""
+    """Rows of several batches together, up to about ``most`` bytes of text, in order of id and t; texts as bytes."""
     rows: list[tuple] = []
     held = 0
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-            rows.append(row)
-            held += len(row[2]) if row[2] else 0
+            raw = utf8(row[2]) if columns[2] == "text" else unsqueeze(row[2] or b"")
+            rows.append((*row[:2], raw, *row[3:]))
+            held += len(raw)
             if held >= most:
-                yield rows
+                yield sorted(rows, key=lambda r: r[:2])
                 rows, held = [], 0
     if rows:
-        yield rows
+        yield sorted(rows, key=lambda r: r[:2])
+
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index, length) of runs of equal values."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(ordered)))
 
-def _spread(bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, bytes]]]:
-    """Each bucket's part of parallel arrays, packed."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    packed = {c: a[order] for c, a in arrays.items()}
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket))):
-        yield int(bucket[lo]), {c: a[lo:hi].tobytes() for c, a in packed.items()}
 
+def _parts(bucket: np.ndarray, number: np.ndarray, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, indices in row order) of each bucket."""
+    order = np.argsort(bucket * rows + number, kind="stable")
+    for first, n in zip(*_runs(bucket[order])):
+        at = order[first : first + n]
+        yield int(bucket[at[0]]), at
 
-def _by_document(ids: np.ndarray, ts: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-    """A row for each document: id, t and its values, packed."""
-    order = np.lexsort((ts, ids))
-    ids, ts, values = ids[order], ts[order], values[order]
+
+def _by_document(ids: np.ndarray, ts: np.ndarray, packed: np.ndarray) -> pd.DataFrame:
+    """A row for each document: id, t and its values (rows of a byte matrix), packed."""
+    order = np.lexsort((ts, ids)) if ts.any() else np.argsort(ids, kind="stable")
+    ids, ts, packed = ids[order], ts[order], packed[order]
     if not len(ids):
         return pd.DataFrame({"id": ids, "t": ts, "found": []})
-    cuts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (ts[1:] != ts[:-1])))
-    return pd.DataFrame({"id": ids[cuts], "t": ts[cuts], "found": [values[lo:hi].tobytes() for lo, hi in zip(cuts, np.append(cuts[1:], len(ids)))]})
+    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (ts[1:] != ts[:-1])))
+    width, data = packed.shape[1], packed.tobytes()
+    return pd.DataFrame({"id": ids[first], "t": ts[first], "found": [data[a * width : b * width] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)])]})
+
 
+def _concat(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
-def _join(rows: pd.DataFrame, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(rows[column]), kind)
+
+_BINARY = pa.binary()
 
 
 def _shared_minimisers(texts: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(id, t, found): hashes of each document's minimisers that documents of two identifiers have at least."""
+    """(id, t, found): the lower bits of each document's minimisers that documents of two identifiers have at least."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _gathered(batches, ("id", "t", "text")):
-            number, _, _, hashes = minimisers([utf8(r[2]) for r in rows], length)
-            ids, ts = (np.array([r[k] for r in rows], np.int64)[number] for k in (0, 1))
-            order = np.lexsort((ts, ids, hashes))
-            hashes, ids, ts = hashes[order], ids[order], ts[order]
-            new = np.ones(len(hashes), bool)
-            new[1:] = hashes[1:] != hashes[:-1]
-            fresh = new.copy()
-            fresh[1:] |= (ids[1:] != ids[:-1]) | (ts[1:] != ts[:-1])
-            hashes, ids, ts, new = hashes[fresh], ids[fresh], ts[fresh], new[fresh]
-            run = np.flatnonzero(new)
-            size = np.diff(np.append(run, len(hashes)))
-            many = np.repeat(ids[run] != ids[run + size - 1], size) if len(run) else np.zeros(0, bool)
+            number, _, _, hashes = minimisers([r[2] for r in rows], length)
+            ids, ts = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+            order = np.argsort(hashes)
+            hashes, number = hashes[order], number[order]
             out = []
-            # of a hash that two of these documents share one entry goes on, and they know already
-            once = ~many | new
-            for bucket, packed in _spread((hashes[once] % np.uint64(buckets)).astype(np.int64), {"hashes": hashes[once], "ids": ids[once], "ts": ts[once], "many": many[once]}):
-                out.append({"bucket": bucket, "known": False, **packed})
-            for bucket, packed in _spread((hashes[many] % np.uint64(buckets)).astype(np.int64), {"hashes": hashes[many], "ids": ids[many], "ts": ts[many], "many": many[many]}):
-                out.append({"bucket": bucket, "known": True, **packed})
+            if len(hashes):
+                first, size = _runs(hashes)
+                low, high = np.minimum.reduceat(number, first), np.maximum.reduceat(number, first)
+                many = ids[low] != ids[high]
+                twins = np.repeat((low != high) & ~many, size)  # rows of one identifier: each asks for itself
+                # of a hash that two of these documents share one entry goes on, and they know already
+                asks = (np.concatenate((hashes[first], hashes[twins])), np.concatenate((low, number[twins])), np.concatenate((many, np.zeros(int(twins.sum()), bool))))
+                know = np.repeat(many, size)
+                for known, (h, n, m) in ((False, asks), (True, (hashes[know], number[know], np.zeros(int(know.sum()), bool)))):
+                    for bucket, at in _parts(_bucket(h, buckets), n, len(rows)):
+                        out.append((bucket, known, pack40(h[at]), pack_ascending(ids[n[at]]), _pack_ts(ts[n[at]]), b"" if known else np.packbits(m[at]).tobytes()))
             if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("hashes", "ids", "ts", "many"))]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), *[_BINARY] * 4))], names=["bucket", "known", "hashes", "ids", "ts", "many"])
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        known, asked = rows[rows["known"]], rows[~rows["known"]]
-        hashes, ids, ts, many = (_join(asked, c, k) for c, k in (("hashes", np.uint64), ("ids", np.int64), ("ts", np.int64), ("many", bool)))
-        order = np.lexsort((ids, hashes))
-        hashes, ids, ts, many = hashes[order], ids[order], ts[order], many[order]
+        parts: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
+        for known, hashes, ids, ts, many in zip(*(rows[c] for c in ("known", "hashes", "ids", "ts", "many"))):
+            h = unpack40(hashes)
+            parts[bool(known)].append((h, unpack_ascending(ids), _unpack_ts(ts, len(h)), np.unpackbits(np.frombuffer(many, np.uint8), count=len(h)).astype(bool) if many else np.zeros(len(h), bool)))
+        hashes, ids, ts, many = (_concat([p[k] for p in parts[False]], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64, bool)))
         if len(hashes):
-            run = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-            size = np.diff(np.append(run, len(hashes)))
-            shared = np.repeat((ids[run] != ids[run + size - 1]) | np.logical_or.reduceat(many, run), size) & ~many
+            order = np.argsort(hashes)
+            hashes, ids, ts, many = hashes[order], ids[order], ts[order], many[order]
+            first, size = _runs(hashes)
+            shared = np.repeat((np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) | np.logical_or.reduceat(many, first), size) & ~many
             hashes, ids, ts = hashes[shared], ids[shared], ts[shared]
-        parts = [_join(known, c, k) for c, k in (("ids", np.int64), ("ts", np.int64), ("hashes", np.uint64))]
-        return _by_document(*(np.concatenate(x) for x in zip((ids, ts, hashes), parts)))
+        hashes, ids, ts = (np.concatenate((own, _concat([p[k] for p in parts[True]], own.dtype))) for k, own in enumerate((hashes, ids, ts)))
+        return _by_document(ids, ts, np.frombuffer(pack40(hashes), np.uint8).reshape(-1, 5))
 
     spread = texts.mapInArrow(entries, "bucket long, known boolean, hashes binary, ids binary, ts binary, many binary")
     return spread.groupBy("bucket").applyInPandas(decide, "id long, t long, found binary").groupBy("id", "t").agg(F.collect_list("found").alias("found"))
 
 
-def _spans(texts: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(id, t, found): pairs of int64, the byte spans of each document that repeat a smaller identifier's."""
+def _spans(squeezed: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
+    """(id, t, found): pairs of uint32, the byte spans of each document that repeat a smaller identifier's."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _gathered(batches, ("id", "t", "text", "found")):
-            raws = [utf8(r[2]) for r in rows]
+        for rows in _gathered(batches, ("id", "t", "z", "found")):
+            raws = [r[2] for r in rows]
             number, start, count, hashes = minimisers(raws, length)
-            wanted = np.unique(np.frombuffer(b"".join([x for r in rows for x in r[3]]), np.uint64))
-            here = np.isin(hashes, wanted)
-            number, start, count, hashes = number[here], start[here], count[here], hashes[here]
+            wanted = np.unique(unpack40(b"".join([x for r in rows for x in r[3]])))
+            here = np.isin(hashes & _LOW, wanted)
+            number, start, size, hashes = number[here], start[here], count[here] + length - 1, hashes[here]
             ids, ts = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-            order = np.argsort(ids[number], kind="stable")  # a block's first document has the smallest identifier
             owner: dict[bytes, int] = {}
             contents: list[bytes] = []
-            kept, passed = [], []
+            first = np.ones(len(number), bool)
             own_ids = ids.tolist()
-            for k, (doc, a, n) in zip(order.tolist(), zip(number[order].tolist(), start[order].tolist(), count[order].tolist())):
-                content = raws[doc][a : a + n + length - 1]
+            # rows are in order of identifiers, so a block's first document has the smallest
+            for k, (doc, a, n) in enumerate(zip(number.tolist(), start.tolist(), size.tolist())):
+                content = raws[doc][a : a + n]
                 if owner.setdefault(content, own_ids[doc]) == own_ids[doc]:
-                    kept.append(k)
                     contents.append(content)
                 else:
-                    passed.append(k)
+                    first[k] = False
+                    contents.append(b"")
+            bucket = _bucket(hashes, buckets)
             out = []
-            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-            if kept:
-                where = bucket[kept]
-                by = np.argsort(where, kind="stable")
-                cuts = np.flatnonzero(np.append(True, where[by][1:] != where[by][:-1]))
-                for lo, hi in zip(cuts, np.append(cuts[1:], len(by))):
-                    mine = [kept[j] for j in by[lo:hi]]
-                    out.append(
-                        {
-                            "bucket": int(where[by[lo]]),
-                            "known": False,
-                            "contents": b"".join([contents[j] for j in by[lo:hi]]),
-                            "sizes": (count[mine] + length - 1).astype(np.int64).tobytes(),
-                            "hashes": hashes[mine].tobytes(),
-                            "ids": ids[number[mine]].tobytes(),
-                            "ts": ts[number[mine]].tobytes(),
-                            "starts": start[mine].astype(np.int64).tobytes(),
-                        }
-                    )
-            for b, packed in _spread(bucket[passed], {"sizes": (count[passed] + length - 1).astype(np.int64), "hashes": hashes[passed], "ids": ids[number[passed]], "ts": ts[number[passed]], "starts": start[passed].astype(np.int64)}):
-                out.append({"bucket": b, "known": True, "contents": b"", **packed})
+            for known in (False, True):
+                mine = np.flatnonzero(first != known)
+                for b, at in _parts(bucket[mine], number[mine], max(1, len(rows))):
+                    at = mine[at]
+                    out.append((b, known, squeeze(b"".join([contents[j] for j in at])), size[at].astype("<u2").tobytes(), b"" if known else (hashes[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), pack_ascending(ids[number[at]]), _pack_ts(ts[number[at]]), squeeze(start[at].astype("<u4").tobytes())))
             if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("contents", "sizes", "hashes", "ids", "ts", "starts"))]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), *[_BINARY] * 6))], names=["bucket", "known", "contents", "sizes", "hashes", "ids", "ts", "starts"])
 
     def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        known, asked = rows[rows["known"]], rows[~rows["known"]]
-        columns = (("sizes", np.int64), ("hashes", np.uint64), ("ids", np.int64), ("ts", np.int64), ("starts", np.int64))
-        sizes, hashes, ids, ts, starts = (_join(asked, c, k) for c, k in columns)
-        joined = b"".join(asked["contents"])
+        parts: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
+        joined = b"".join(unsqueeze(c) for c, known in zip(rows["contents"], rows["known"]) if not known)
+        for known, sizes, hashes, ids, ts, starts in zip(*(rows[c] for c in ("known", "sizes", "hashes", "ids", "ts", "starts"))):
+            n = len(sizes) // 2
+            parts[bool(known)].append((np.frombuffer(sizes, "<u2").astype(np.int64), np.frombuffer(hashes, "<u4"), unpack_ascending(ids), _unpack_ts(ts, n), np.frombuffer(unsqueeze(starts), "<u4").astype(np.int64)))
+        sizes, hashes, ids, ts, starts = (_concat([p[k] for p in parts[False]], kind) for k, kind in enumerate((np.int64, np.uint32, np.int64, np.int64, np.int64)))
         ends = np.cumsum(sizes)
         index: dict[bytes, int] = {}
-        which = np.empty(len(sizes), np.int64)
-        for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
-            which[k] = index.setdefault(joined[a:b], len(index))
+        which = np.array([index.setdefault(joined[a:b], len(index)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64)
         contents = list(index)
         owner = np.full(len(contents), _NULL_ID, np.int64)
         np.minimum.at(owner, which, ids)
-        of = np.zeros(len(contents), np.uint64)
+        of = np.zeros(len(contents), np.uint32)
         of[which] = hashes
         _, group, members = np.unique(of, return_inverse=True, return_counts=True)
         # a block whose minimiser no other block has is equal to itself alone
-        sorted_ = np.flatnonzero(members[group] > 1) if len(contents) else np.zeros(0, np.int64)
-        hits = dict(zip(sorted_.tolist(), repeated_starts([contents[j] for j in sorted_], owner[sorted_], length)))
-        whole = ids > owner[which]
-        parts = [(ids[whole], ts[whole], np.stack((starts[whole], starts[whole] + sizes[whole]), 1))]
-        k_ids, k_ts, k_starts, k_sizes = (_join(known, c, np.int64) for c in ("ids", "ts", "starts", "sizes"))
-        parts.append((k_ids, k_ts, np.stack((k_starts, k_starts + k_sizes), 1)))
-        some: list[tuple[int, int, int, int]] = []
-        for k in np.flatnonzero(~whole).tolist():
-            hit = hits.get(int(which[k]))
-            if hit is not None and hit.any():
-                edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
-                some += [(ids[k], ts[k], starts[k] + a, starts[k] + b + length - 1) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
-        s = np.array(some, np.int64).reshape(-1, 4)
-        parts.append((s[:, 0], s[:, 1], s[:, 2:]))
-        return _by_document(*(np.concatenate(x) for x in zip(*parts)))
-
-    candidates = texts.join(shared, ["id", "t"])
-    spread = candidates.select("id", "t", "text", "found").mapInArrow(blocks, "bucket long, known boolean, contents binary, sizes binary, hashes binary, ids binary, ts binary, starts binary")
+        sort = np.flatnonzero(members[group] > 1) if len(contents) else np.zeros(0, np.int64)
+        whole = ids > owner[which] if len(which) else np.zeros(0, bool)
+        found = [(ids[whole], ts[whole], starts[whole], starts[whole] + sizes[whole])]
+        found += [(i, t, a, a + n) for n, _, i, t, a in parts[True]]
+        if len(sort):
+            text, begin, end = repeated_spans([contents[j] for j in sort], owner[sort], length)
+            text = sort[text]  # ascending
+            lo, hi = (np.searchsorted(text, which[~whole], side=x) for x in ("left", "right"))
+            many = hi - lo
+            span = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            own = np.repeat(np.flatnonzero(~whole), many)
+            found.append((ids[own], ts[own], starts[own] + begin[span], starts[own] + end[span]))
+        ids, ts, begin, end = (np.concatenate(x) for x in zip(*found))
+        return _by_document(ids, ts, np.stack((begin, end), 1).astype("<u4").view(np.uint8).reshape(-1, 8))
+
+    candidates = squeezed.join(shared, ["id", "t"])
+    spread = candidates.select("id", "t", "z", "found").mapInArrow(blocks, "bucket long, known boolean, contents binary, sizes binary, hashes binary, ids binary, ts binary, starts binary")
     return spread.groupBy("bucket").applyInPandas(sort_bucket, "id long, t long, found binary").groupBy("id", "t").agg(F.collect_list("found").alias("found"))
 
 
 def merge_spans(found: list[bytes] | None) -> np.ndarray:
     """Disjoint, ascending spans (rows of begin and end) that cover the same bytes."""
-    spans = np.frombuffer(b"".join(found or ()), np.int64).reshape(-1, 2)
+    spans = np.frombuffer(b"".join(found or ()), "<u4").astype(np.int64).reshape(-1, 2)
     if not len(spans):
         return spans
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
@@ -416,15 +455,29 @@ def merge_spans(found: list[bytes] | None) -> np.ndarray:
     return np.stack((spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]), 1)
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, text (null: empty), ``keep`` columns and found: packed spans of each document's repeated bytes."""
-    small_batches(docs.sparkSession)
-    buckets = parts_for(docs, BUCKET_MB, least=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    texts = base.select("id", "t", "text")
-    spans = _spans(texts, _shared_minimisers(texts, buckets, length), buckets, length)
-    return base.join(spans, ["id", "t"], "left")
+def with_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """(id, t, z, found): each document's squeezed text (null for a null text) and packed spans of repeated bytes.
+
+    Also whether identifiers repeat: if so, t is the text's hash and tells their rows apart, else it is 0. The
+    squeezed texts are dealt by identifier once, and both joins read that exchange.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    buckets = parts_for(docs, BUCKET_MB, least=max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
+    repeated = not docs.groupBy(own_id.alias("id")).count().where("count > 1").isEmpty()
+    t = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)) if repeated else F.lit(0).cast("long")
+    texts = docs.select(own_id.alias("id"), t.alias("t"), F.col(text_col).alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [None if x is None else squeeze(utf8(x)) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(z, _BINARY)], names=["id", "t", "z"])
+
+    # the filter, which holds for all rows, is what the inner join would add: so both joins have one exchange
+    squeezed = texts.mapInArrow(pack, "id long, t long, z binary").where("id is not null and t is not null")
+    spans = _spans(squeezed, _shared_minimisers(texts, buckets, length), buckets, length)
+    return squeezed.join(spans, ["id", "t"], "left"), repeated
 
 
 def span_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -435,13 +488,13 @@ def span_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     others and equal to each other; rows of one identifier don't remove each other's bytes, and each of them
     counts as that document. Repeated rows stay; an empty table gives no rows.
     """
-    rows = with_spans(docs, length, id_col, text_col)
+    rows, _ = with_spans(docs, length, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                raw, spans = utf8(text), merge_spans(found)
+            for z, found in zip(batch.column("z").to_pylist(), batch.column("found").to_pylist()):
+                raw, spans = unsqueeze(z or b""), merge_spans(found)
                 digest, at = hashlib.sha256(), 0
                 for a, b in spans.tolist():
                     digest.update(raw[at:a])
@@ -452,38 +505,41 @@ def span_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             ids = batch.column("id").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([None if i == _NULL_ID else i for i in ids], pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 3 + (pa.string(),)))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("id", "text", "found").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("id", "z", "found").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_text(raw: bytes, spans: np.ndarray) -> str:
+    """A text without spans of bytes; characters that a span covers only in part stay."""
+    out, at = [], 0
+    for a, b in spans.tolist():
+        while a < len(raw) and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append(raw[at:a])
+            at = b
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages cut out of the texts.
+    """``docs`` with repeated passages cut out of the texts; their columns and types stay as they are.
 
     A character goes if all its bytes do. Null texts stay null. Rows whose whole text goes are kept with an
-    empty text; a caller may drop them.
+    empty text; a caller may drop them. Rows and their other columns are joined by identifier (and text hash
+    where identifiers repeat; equal pairs of both are then the same text, so each row meets its own once).
     """
-    others = tuple(c for c in docs.columns if c != text_col)
-    rows = with_spans(docs, length, id_col, text_col, keep=(*others, text_col))
-    schema = docs.schema
+    rows, repeated = with_spans(docs, length, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(f"keep_{text_col}").to_pylist(), batch.column("found").to_pylist()):
-                spans = merge_spans(found)
-                if text is None or not len(spans):
-                    texts.append(text)
-                    continue
-                raw, out, at = utf8(text), [], 0
-                for a, b in spans.tolist():
-                    while a < len(raw) and raw[a] & 0xC0 == 0x80:  # the cut-off character stays
-                        a += 1
-                    while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
-                        b -= 1
-                    if a < b:
-                        out.append(raw[at:a])
-                        at = b
-                out.append(raw[at:])
-                texts.append(b"".join(out).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(f"keep_{c}") for c in schema.names], names=schema.names)
-
-    return rows.select(*[f"keep_{c}" for c in (*others, text_col)], "found").mapInArrow(work, schema)
+            texts = [None if z is None else cut_text(unsqueeze(z), merge_spans(found)) for z, found in zip(batch.column("z").to_pylist(), batch.column("found").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(texts, pa.string())], names=["__id", "__t", "__text"])
+
+    cut = rows.select("id", "t", "z", "found").mapInArrow(work, "__id long, __t long, __text string")
+    if repeated:
+        cut = cut.dropDuplicates(["__id", "__t"])
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
+    own_t = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)) if repeated else F.lit(0).cast("long")
+    others = docs.select(*[F.col(c) for c in docs.columns if c != text_col], own_id.alias("__id"), own_t.alias("__t"))
+    return others.join(cut, ["__id", "__t"]).select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])

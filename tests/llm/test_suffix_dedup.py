@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from locusframe.llm import suffix_dedup as S
+from locusframe.llm.common import pack40, unpack40
 
 from conftest_llm import prose
 
@@ -87,7 +88,7 @@ def test_whole_tables(spark, documents, rng):
 
 def test_packing(rng):
     values = np.array([rng.randrange(1 << 40) for _ in range(50)], np.uint64)
-    assert (S.unpack40(S.pack40(values)) == values).all()
+    assert (unpack40(pack40(values)) == values).all()
     for ids in ([], [5], [-3, -3, 0, 1 << 62], list(range(300))):
         assert S.unpack_ascending(S.pack_ascending(np.array(ids, np.int64))).tolist() == ids
     assert S.unsqueeze(S.squeeze(b"")) == b"" and S.unsqueeze(S.squeeze(b"abc" * 99)) == b"abc" * 99
