@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix64, small_batches
+from .common import chunks, cut, mix64, pack40, small_batches, unpack40
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -86,7 +86,7 @@ def weight_of(count: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: int, text: np.ndarray, shingle: np.ndarray, count: np.ndarray, components: int = BANDS * ROWS) -> np.ndarray:
-    """A row of ``components`` 32-bit values for each of ``texts`` texts; texts without shingles have zeros."""
+    """A row of ``components`` 16-bit values for each of ``texts`` texts; texts without shingles have zeros."""
     first = np.full(texts * components, np.inf)
     winner = np.zeros(texts * components, np.uint64)
     seed, rate, doc = shingle.copy(), weight_of(count), text
@@ -111,7 +111,7 @@ def signatures(texts: int, text: np.ndarray, shingle: np.ndarray, count: np.ndar
         seed, rate, doc, time = seed[go], rate[go], doc[go], time[go]
         arrival += block
         block = min(64, max(1, 20_000 // max(1, len(doc)))) if arrival > 1 else 1
-    return (mix64(winner) >> np.uint64(32)).astype(np.uint32).reshape(texts, components)
+    return (mix64(winner) >> np.uint64(48)).astype(np.uint16).reshape(texts, components)
 
 
 def probability_jaccard(a: str | None, b: str | None, words: int = WORDS) -> float:
@@ -161,7 +161,7 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
 def _bands(signed: DataFrame, bands: int, rows: int) -> DataFrame:
     """(band, number, node): band is a hash of the band's number and values."""
-    parts = [F.xxhash64(F.lit(b), F.substring("signature", b * rows * 4 + 1, rows * 4)) for b in range(bands)]
+    parts = [F.xxhash64(F.lit(b), F.substring("signature", b * rows * 2 + 1, rows * 2)) for b in range(bands)]
     return signed.where("signature is not null").select("node", F.posexplode(F.array(*parts)).alias("number", "band"))
 
 
@@ -173,7 +173,7 @@ def _agree(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
@@ -187,7 +187,7 @@ def _texts(wanted: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, t
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles, counts): each text's weighted shingles, packed."""
+    """(node, shingles, counts): each text's weighted shingles, packed: 40 bits each, and counts where one is above 1."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,8 +196,10 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                 text, shingle, count = weighted_shingles(own[lo:hi], words)
                 bounds = np.searchsorted(text, np.arange(hi - lo + 1))
                 for a, b in zip(bounds, bounds[1:]):
-                    packed[0].append(shingle[a:b].tobytes())
-                    packed[1].append(count[a:b].astype(np.int64).tobytes())
+                    low = shingle[a:b] & np.uint64((1 << 40) - 1)
+                    order = np.argsort(low)
+                    packed[0].append(pack40(low[order]))
+                    packed[1].append(count[a:b][order].astype("<u4").tobytes() if (count[a:b] > 1).any() else b"")
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], names=["node", "shingles", "counts"])
 
     return texts.mapInArrow(work, "node long, shingles binary, counts binary")
@@ -264,8 +266,8 @@ def _links_in(rows: pd.DataFrame, least: int, similarity: float, height: int) ->
     that shares an earlier band is left to it.
     """
     rows = rows.sort_values("node", ignore_index=True)
-    signature = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
-    sets = [(np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64)) for s, c in zip(rows["shingles"], rows["counts"])]
+    signature = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
+    sets = [(u := unpack40(s), np.frombuffer(c, "<u4") if c else np.ones(len(u), np.uint32)) for s, c in zip(rows["shingles"], rows["counts"])]
     node, block, number = rows["node"].to_numpy(), rows["block"].to_numpy(), int(rows["number"].iloc[0])
     _, component, sizes = np.unique(rows["label"].to_numpy(), return_inverse=True, return_counts=True)
     largest = component == sizes.argmax()
@@ -315,7 +317,8 @@ def _more_links(members: DataFrame, labels: DataFrame, signed: DataFrame, docs:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id, the smallest identifier among the documents linked to it directly or through others.
+    """doc_id and class_id, the smallest identifier among the documents linked to it directly or through others,
+    and class_text, the MD5 of the text of the class's first document.
 
     Every row of ``docs`` gives one row. Null texts are empty; texts without words are copies only of equal
     texts; texts of fewer than ``words`` words are compared as one shingle. Null identifiers are larger than
@@ -335,22 +338,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     if not more.isEmpty():
         labels = components(edges.union(more))
     labelled = signed.select("node", "key", "least").join(labels, "node", "left").select("key", "least", F.coalesce("label", "node").alias("label"))
-    classes = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
-    of_text = labelled.join(classes, "label").select("key", "class_id")
-    return docs.select(F.col(id_col).alias("doc_id"), _key(text_col).alias("key")).join(of_text, "key").select("doc_id", "class_id")
+    first = F.struct(F.col("least").isNull(), "least", "key")
+    classes = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.hex(F.min_by("key", first)).alias("class_text"))
+    of_text = labelled.join(classes, "label").select("key", "class_id", "class_text")
+    return docs.select(F.col(id_col).alias("doc_id"), _key(text_col).alias("key")).join(of_text, "key").select("doc_id", "class_id", "class_text")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest identifier; equal rows count once."""
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"))
-    repeated = docs.groupBy(id_col).count().where("count > 1")
-    if repeated.isEmpty() and docs.where(F.col(id_col).isNull()).isEmpty():
-        return docs.join(kept, docs[id_col] == kept["__id"], "left_semi")
-    # identifiers that repeat: the class's smallest text by key among the rows of its smallest identifier
-    rank = F.row_number().over(Window.partitionBy("__class").orderBy(F.col("__id").asc_nulls_last(), "__key"))
+    repeated = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    if not repeated:
+        kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"))
+        return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    # identifiers that repeat don't name a row: the text of the class's first document does
+    kept = classes.select(F.col("class_id").alias("__id"), F.unhex("class_text").alias("__text_key")).distinct()
     keyed = docs.withColumn("__key", _key(text_col))
-    by_key = keyed.select(F.col(id_col).alias("__id"), "__key").distinct()
-    signed = classes.select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class")).distinct()
-    first = by_key.join(signed, by_key["__id"].eqNullSafe(signed["__id"])).select(by_key["__id"], "__key", "__class").withColumn("__rank", rank).where("__rank = 1").select(F.col("__id").alias("__i"), F.col("__key").alias("__k"))
-    return keyed.join(first, keyed[id_col].eqNullSafe(first["__i"]) & (keyed["__key"] == first["__k"]), "left_semi").dropDuplicates([id_col, "__key"]).drop("__key")
+    first = keyed.join(kept, keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__text_key"]), "left_semi")
+    return first.dropDuplicates([id_col, "__key"]).drop("__key")
