@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 #: Characters of a text normalised at once, words remembered, and bytes of the longest word that is.
-CHUNK, MOST_WORDS, LONG_WORD = 1 << 16, 250_000, 256
+CHUNK, MOST_WORDS, LONG_WORD = 1 << 16, 600_000, 256
+_NO_MERGE = (1 << 62, -1)
 
 
 def byte_symbols() -> list[str]:
@@ -81,16 +82,19 @@ class Merges:
 
     def tokens(self, symbols: list[int]) -> list[int]:
         """Merge the pair of the lowest rank, the leftmost first, until none is left."""
-        ranks = self.ranks
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k, pair in enumerate(zip(symbols, symbols[1:])):
-                found = ranks.get(pair)
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, k
-            if best is None:
+        get = self.ranks.get
+        near = [get(pair, _NO_MERGE) for pair in zip(symbols, symbols[1:])]
+        while near:
+            best = min(near)
+            if best is _NO_MERGE:
                 break
-            symbols[at : at + 2] = [best[1]]
+            k = near.index(best)
+            symbols[k : k + 2] = [best[1]]
+            del near[k]  # only the neighbours' pairs change
+            if k:
+                near[k - 1] = get((symbols[k - 1], symbols[k]), _NO_MERGE)
+            if k < len(near):
+                near[k] = get((symbols[k], symbols[k + 1]), _NO_MERGE)
         return symbols
 
     def word(self, raw: bytes) -> list[int]:

@@ -68,6 +68,16 @@ def _key(source_col: str) -> Column:
     return F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
 
 
+def _order(id_col: str, seed: int) -> Column:
+    """The shuffled order of a source's documents: MD5 of seed and identifier, as text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+
+
+def _bucket(order: Column, bits: int) -> Column:
+    """Buckets that follow the order: its first ``bits`` bits."""
+    return F.shiftright(F.conv(F.left(order, F.lit(8)), 16, 10).cast("long"), 32 - bits)
+
+
 def plan(sized: DataFrame, weights: Sequence[float], schedules: Sequence[Sequence[float]], share: float, most_passes: int) -> Plan:
     """The driver gets one row for each source."""
     rows = sized.groupBy("__s").agg(F.sum("size").alias("size")).collect()
@@ -130,16 +140,16 @@ def assign(
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     if docs.isEmpty():
         return docs.select(*keep).withColumns({"size": F.lit(0).cast("long"), "source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long"), "positions": F.array().cast("array<double>")})
-    bits = max(4, min(40, math.ceil(math.log2(8 * parts_for(docs, 16.0, least=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
+    bits = max(4, min(32, math.ceil(math.log2(8 * parts_for(docs, 16.0, least=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
     sized = docs.select(
         *[F.col(c) for c in keep],
         _key(source_col).alias("__s"),
         words(text_col).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("__h"),
+        _order(id_col, seed).alias("__h"),
         F.xxhash64(F.col(text_col)).alias("__t"),
         F.col(id_col).alias("__id"),
-    ).withColumn("__b", F.shiftright("__h", 64 - bits))
-    slim = docs.select(_key(source_col).alias("__s"), words(text_col).alias("size"), F.shiftright(F.xxhash64(F.lit(seed), F.col(id_col)), 64 - bits).alias("__b"))
+    ).withColumn("__b", _bucket(F.col("__h"), bits))
+    slim = docs.select(_key(source_col).alias("__s"), words(text_col).alias("size"), _bucket(_order(id_col, seed), bits).alias("__b"))
     buckets = slim.groupBy("__s", "__b").agg(F.sum("size").alias("size"))
     buckets = cut(buckets)  # read twice, and far smaller than the documents
     mix = plan(buckets, weights, schedules, share, most_passes)

@@ -50,7 +50,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the curriculum takes, and when first, in training order."""
     assigned = mixing.assign(table(spark, sf_dir, "documents"), keep=("doc_id",))
-    first = assigned.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"), F.size("positions").alias("copies"))
+    first = assigned.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round(F.get("positions", F.lit(0)), 6).alias("first_position"), F.size("positions").alias("copies"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = F.when(F.col("first_position").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(F.least(F.floor(F.col("first_position") * n), F.lit(n - 1)))
     return first.repartitionById(n, part.cast("int")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
@@ -103,5 +103,44 @@ SELECT page_id, host, path, rule,
 FROM parts LEFT JOIN fits USING (page_id)"""
 
 
+def _op6_sql() -> str:
+    weights = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(mixing.WEIGHTS))
+
+    def inverse(knots: tuple[float, ...]) -> str:
+        """The time by which a share y is due, as SQL."""
+        m = len(knots) - 1
+        areas = [(a + b) / 2 / m for a, b in zip(knots, knots[1:])]
+        whole, out = sum(areas), ""
+        for k, (a, b) in enumerate(zip(knots, knots[1:])):
+            rest = f"greatest(y * {whole!r} - {sum(areas[:k])!r}, 0)"
+            slope = (b - a) * m
+            ahead = f"{rest} / {a!r}" if not slope else f"(sqrt(greatest({a * a!r} + {2 * slope!r} * {rest}, 0)) - {a!r}) / {slope!r}"
+            out += f"WHEN y * {whole!r} <= {sum(areas[: k + 1])!r} OR {k} = {m - 1} THEN {k / m!r} + least({ahead}, {1 / m!r}) "
+        return f"CASE {out}END"
+
+    times = " ".join(f"WHEN {k} THEN {inverse(knots)}" for k, knots in enumerate(mixing.SCHEDULES))
+    return f"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+weighed AS (
+    SELECT *, CASE place % {len(mixing.WEIGHTS)} {weights} END::DOUBLE AS w, place % {len(mixing.SCHEDULES)} AS k, {mixing.MOST_PASSES} * source_size AS cap FROM sources),
+-- a source is stopped if its cap is below its share; caps over weights in ascending order fill up first
+ranked AS (
+    SELECT *, (SELECT {mixing.SHARE} * sum(source_size) FROM sources) - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM weighed),
+level AS (SELECT max(rest / open_weight) FILTER (rest / open_weight <= cap / w) AS unit FROM ranked),
+targets AS (SELECT source, source_size, k, least(CAST(cap AS DOUBLE), (SELECT unit FROM level) * w) AS target FROM weighed),
+middles AS (
+    SELECT d.doc_id, d.size, t.source_size, t.target, t.k, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
+    FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+taken AS (
+    SELECT *, middle / target AS y, CAST({" + ".join(f"CASE WHEN middle + {e} * source_size < target THEN 1 ELSE 0 END" for e in range(mixing.MOST_PASSES))} AS INT) AS copies FROM middles)
+SELECT doc_id, size, source_size, round(target, 6) AS target, size * copies AS taken, CASE WHEN copies > 0 THEN round(CASE k {times} END, 6) END AS first_position, copies
+FROM taken"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": _op10_sql()}
+    return {"op6_mixing": _op6_sql(), "op10_url_filter": _op10_sql()}
