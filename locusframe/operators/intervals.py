@@ -97,8 +97,14 @@ def multi_merge(intervals: DataFrame) -> DataFrame:
 
 
 def merged_presence(merged: DataFrame, taxa: list[str]) -> DataFrame:
-    """The wide presence table of merged intervals, numbered in order of chromosome and start."""
-    named = merged.withColumn("uce", (F.row_number().over(Window.orderBy("chromo", "start", "end")) - 1).cast("long"))
+    """The wide presence table of merged intervals, numbered in order of chromosome and start.
+
+    Numbers are a chromosome's offset and a place on it, so only one row a chromosome is ordered globally.
+    """
+    counts = merged.groupBy("chromo").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("chromo", (F.sum("n").over(Window.orderBy("chromo")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("chromo").orderBy("start", "end", F.array_join("taxa", ","))) - 1
+    named = merged.join(offsets, "chromo").withColumn("uce", (F.col("before") + place).cast("long"))
     return named.select("uce", "chromo", F.col("start"), F.col("end").alias("stop"), *[F.array_contains("taxa", t).cast("int").alias(t) for t in taxa])
 
 
