@@ -74,11 +74,11 @@ def join_members(plan: DataFrame, folder: str, target: str) -> DataFrame:
 def assembly_command(program: str, out: str, r1: str, r2: str, single: str | None = None, kmer: int = 31, threads: int = 1, memory: int = 8) -> list[list[str]]:
     """The command lines of an assembly of paired reads, in order; running them is left to the caller."""
     if program == "spades":
-        extra = ["-s", single] if single else []
-        return [["spades.py", "--careful", "--sc", "--cov-cutoff", "auto", "-m", str(memory), "-t", str(threads), "-o", out, "-1", r1, "-2", r2, *extra]]
+        extra = ["--pe1-s", single] if single else []
+        return [["spades.py", "--careful", "--sc", "--memory", str(memory), "--threads", str(threads), "--cov-cutoff", "auto", "--pe1-1", r1, "--pe1-2", r2, "-o", out, *extra]]
     if program == "velvet":
         extra = ["-short", single] if single else []
-        return [["velveth", out, str(kmer), "-fastq.gz", "-shortPaired", "-separate", r1, r2, *extra], ["velvetg", out, "-exp_cov", "auto", "-cov_cutoff", "auto"]]
+        return [["velveth", out, str(kmer), "-fastq.gz" if r1.endswith(".gz") else "-fastq", "-separate", "-shortPaired", r1, r2, *extra], ["velvetg", out, "-cov_cutoff", "auto", "-exp_cov", "auto", "-min_contig_lgth", "100"]]
     if program == "abyss":
         extra = [f"se={single}"] if single else []
         return [["abyss-pe", f"k={kmer}", f"j={threads}", f"name={out}", f"in={r1} {r2}", *extra]]

@@ -6,6 +6,7 @@ for tests, and is no alignment method.
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
 from collections.abc import Callable, Sequence
@@ -46,11 +47,46 @@ def check_program(name: str) -> str | None:
     return shutil.which(name)
 
 
-def hit_search_command(target: str, query: str, output: str, identity: float = 92.5, coverage: float = 83.0, min_match: int | None = None, program: str = "lastz") -> list[str]:
-    """The arguments of a hit search with tab-separated output of the fields that the reader expects."""
-    fields = "score,name1,strand1,zstart1,end1,length1,name2,strand2,zstart2,end2,length2,diff,cigar,identity,continuity" + ("" if min_match else ",coverage")
-    limit = f"--filter=nmatch:{min_match}" if min_match else f"--coverage={coverage:g}"
-    return [program, f"{target}[multiple,nameparse=full]", f"{query}[nameparse=full]", "--strand=both", "--seed=12of19", "--transition", "--nogfextend", "--nochain", "--gap=400,30", "--xdrop=910", "--ydrop=8370", "--hspthresh=3000", "--gappedthresh=3000", "--noentropy", limit, f"--identity={identity:g}", f"--output={output}", f"--format=general-:{fields}"]
+# Options of the hit search, and the columns that the reader of hits expects.
+_SEARCH = "--strand=both --seed=12of19 --transition --nogfextend --nochain --gap=400,30 --xdrop=910 --ydrop=8370 --hspthresh=3000 --gappedthresh=3000 --noentropy".split()
+_COLUMNS = "score,name1,strand1,zstart1,end1,length1,name2,strand2,zstart2,end2,length2,diff,cigar,identity,continuity"
+
+
+def hit_search_command(target: str, query: str, output: str, identity: float = 92.5, coverage: float = 83.0, min_match: int | None = None, with_coverage: bool = False, program: str = "lastz") -> list[str]:
+    """A hit search with tab-separated output; ``with_coverage`` gives the long form of hits (19 fields)."""
+    if with_coverage and min_match is not None:
+        raise ValueError("the long form is limited by coverage")
+    limit = f"--coverage={coverage:g}" if min_match is None else f"--matchcount={min_match}"
+    names = "[multiple]" if with_coverage else "[multiple,nameparse=full]"
+    columns = _COLUMNS + (",coverage" if with_coverage else "")
+    return [program, target + names, f"{query}[nameparse=full]", *_SEARCH, limit, f"--identity={identity:g}", f"--output={output}", f"--format=general-:{columns}"]
+
+
+def mapping_commands(species: str, assembly: str, genome: Sequence[str], prefix: str, reads: Sequence[str], output: str, rate: float = 0.05, threads: int = 1, bam: bool = False, fresh: bool = False, program: str = "probebwa") -> list[list[str]]:
+    """Index, hash and map one or two read files; a fresh index is not built again."""
+    if not 1 <= len(reads) <= 2:
+        raise ValueError("give one read file or two")
+    index = [] if fresh else [[program, "build-genome", "--species", species, "--assembly", assembly, "-G", prefix, *genome], [program, "build-hash", "--genome", prefix, "-H", prefix]]
+    kind = ["--outputformat", "bam"] if bam else []
+    return [*index, [program, "map", "--genome", prefix, "--hash", prefix, "--substitution-rate", f"{rate:g}", "--threads", str(threads), *kind, "--output", output, "-M", *reads]]
+
+
+def index_is_fresh(index: str, sources: Sequence[str]) -> bool:
+    """Whether an index is there and no source is newer, or missing."""
+    try:
+        made = os.path.getmtime(index)
+        return all(os.path.getmtime(s) <= made for s in sources)
+    except OSError:
+        return False
+
+
+def trim_command(source: str, target: str, program: str = "trimal") -> list[str]:
+    return [program, "-in", source, "-out", target, "-automated1", "-fasta"]
+
+
+def reduce_command(source: str, folder: str, program: str = "raxmlHPC-SSE3") -> list[str]:
+    """Writes ``source.reduced`` without repeated rows and columns of missing data, if there are any."""
+    return [program, "-f", "c", "-m", "GTRGAMMA", "-s", source, "-w", folder, "-n", "test"]
 
 
 def group_and_align(records: DataFrame, taxa: int, aligner: Aligner, complete: bool = True, keep_ambiguous: bool = False) -> DataFrame:
@@ -87,6 +123,8 @@ def reconstruct_loci(probes: DataFrame, aligner: Aligner, threshold: float = 0.7
 
 
 def block_options(taxa: int, b1: float = 0.5, b2: float = 0.85, b3: int = 8, b4: int = 10) -> Sequence[str]:
-    """Options of a block trimmer: the least rows for conserved and flanking columns from shares of the taxa."""
-    least = int(round(b1 * taxa)) + 1
-    return (f"-b1={least}", f"-b2={max(least, int(round(b2 * taxa)))}", f"-b3={b3}", f"-b4={b4}", "-b5=h", "-p=n")
+    """Options of a block trimmer: the least rows for conserved and flanking columns from shares of the taxa, rounded half up."""
+    if b4 < 2:
+        raise ValueError("blocks have two columns at least")
+    least = int(b1 * taxa + 0.5) + 1
+    return ("-t=DNA", f"-b1={least}", f"-b2={max(least, int(b2 * taxa + 0.5))}", f"-b3={b3}", f"-b4={b4}", "-b5=h", "-p=n")

@@ -144,7 +144,12 @@ def full_probes(p: Proxy) -> DataFrame:
     return probes.full_probes(_fragments(p)).select(F.lit("chr").alias("kind"), "locus", "local_start", "local_end")
 
 
-@query()
+@query(
+    "tiling_loci",
+    sql=f"""WITH {_TILES}, spans AS (SELECT locus, min(start) AS a, max("end") AS b FROM tiles GROUP BY locus)
+    SELECT CAST(s.locus AS VARCHAR) AS locus, 'unknown' AS source, l.chromo, 'design' AS design, 'designer' AS designer, a AS local_start, b AS local_end, l.chromo_start + a AS global_start, l.chromo_start + b AS global_end,
+        upper(substr(l.sequence, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT))) AS sequence, CAST(1 AS INT) AS probe FROM spans s JOIN tiling_loci l ON s.locus = l.locus""",
+)
 def full_probe_sequences(p: Proxy) -> DataFrame:
     return probes.full_probes(_fragments(p))
 
@@ -188,7 +193,16 @@ def slice_sequences(p: Proxy) -> DataFrame:
     return intervals.slice_sequences(bounds, genome, width=401).select("uce", "sequence")
 
 
-@query()
+_FLANK = """, raw AS (SELECT uce, contig, "min", "max", strand, probes, greatest("min" - 50, 0) AS ss,
+    substr(translate(repeat(md5(contig), 60), '0123456789abcdef', 'ACGTACGTACGTNacg'), CAST(greatest("min" - 50, 0) + 1 AS BIGINT), CAST(least("max" + 50, 1920) - greatest("min" - 50, 0) AS BIGINT)) AS raw FROM kept),
+inner_ AS (SELECT *, trim(raw, 'Nn') AS inside, length(raw) - length(ltrim(raw, 'Nn')) AS lead_n FROM raw),
+cut AS (SELECT *, trim(inside, 'acgt') AS seq, ss + lead_n + length(inside) - length(ltrim(inside, 'acgt')) AS a, row_number() OVER (ORDER BY uce) - 1 AS k FROM inner_)"""
+
+
+@query(
+    "hits",
+    sql=f"""WITH {_PLAN}{_BOUNDS}{_FLANK} SELECT uce, 'Node_' || k || '_length_' || length(seq) || '_cov_1000|contig:' || contig || '|slice:' || a || '-' || (a + length(seq)) || '|uce:' || uce || '|match:' || "min" || '-' || "max" || '|orient:' || strand || '|probes:' || probes AS header, seq AS sequence FROM cut""",
+)
 def slice_records_flank(p: Proxy) -> DataFrame:
     genome = _genome(p)
     bounds = intervals.slice_bounds(intervals.slice_plan(p.hits, gap=150), genome.select("contig", F.length("sequence").alias("contig_length")), flank=50)

@@ -42,7 +42,7 @@ def test_texts():
     assert convert.report_line("x", {"reads": 0}) == "x,0,Div/0,Div/0,Div/0,Div/0,0"
     assert convert.report_line("x", {"reads": 2, "total": 6, "mean": 3.0}) == "x,2,6,3.0"
     assert [c[0] for c in convert.assembly_command("velvet", "o", "1", "2")] == ["velveth", "velvetg"]
-    assert "-s" in convert.assembly_command("spades", "o", "1", "2", "3")[0] and convert.assembly_command("abyss", "o", "1", "2")[0][0] == "abyss-pe"
+    assert "--pe1-s" in convert.assembly_command("spades", "o", "1", "2", "3")[0] and convert.assembly_command("abyss", "o", "1", "2")[0][0] == "abyss-pe"
     with pytest.raises(ValueError):
         convert.assembly_command("other", "o", "1", "2")
 

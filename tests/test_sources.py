@@ -176,7 +176,12 @@ def test_external(spark):
     probes = spark.createDataFrame([("uce-1_p1", "ACGT"), ("uce-1_p2", "ACGT"), ("uce-1_p3", "ACCT"), ("uce-2_p1", "GG")], "id string, sequence string")
     assert {tuple(r) for r in external.reconstruct_loci(probes, external.pad_rows).collect()} == {("uce-1", "ACXT"), ("uce-2", "GG")}
     command = external.hit_search_command("t.2bit", "q.fa", "out", min_match=None)
-    assert "--coverage=83" in command and "--identity=92.5" in command
+    assert "--coverage=83" in command and "--identity=92.5" in command and not command[-1].endswith("coverage")
+    assert "--matchcount=40" in external.hit_search_command("t", "q", "o", min_match=40)
+    assert external.hit_search_command("t", "q", "o", with_coverage=True)[-1].endswith("continuity,coverage")
+    assert [c[1] for c in external.mapping_commands("s", "a", ["g"], "p", ["r"], "o")] == ["build-genome", "build-hash", "map"]
+    assert len(external.mapping_commands("s", "a", ["g"], "p", ["r", "q"], "o", fresh=True)) == 1 and not external.index_is_fresh("/nowhere", [])
+    assert external.block_options(10)[1:3] == ("-b1=6", "-b2=9") and external.block_options(2, b2=0.1)[2] == "-b2=2"
     assert external.CommandAligner(("cat",))([("a", "AC"), ("b", "AG")]) == [("a", "AC"), ("b", "AG")]
     with pytest.raises(RuntimeError):
         external.CommandAligner(("false",))([("a", "A")])
