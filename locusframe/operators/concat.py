@@ -61,7 +61,7 @@ def sample_loci(aln: DataFrame, size: int, replicates: int, seed: int) -> DataFr
     """(replicate, locus, draw): ``size`` loci without replacement for each replicate, by hash order of a seed."""
     loci = aln.select("locus").distinct().select("locus", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     # loci of a replicate compete by a hash; a replicate's window holds names only
-    order = Window.partitionBy("replicate").orderBy(F.xxhash64(F.lit(seed), "replicate", "locus"), "locus")
+    order = Window.partitionBy("replicate").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), "locus").cast("binary")), "locus")
     return loci.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= size)
 
 

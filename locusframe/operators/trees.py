@@ -222,7 +222,9 @@ def bootstrap_replicates(loci: DataFrame, replicates: int, seed: int) -> DataFra
     n = loci.select("locus").distinct().count()
     numbered = loci.select("locus").distinct().withColumn("place", F.row_number().over(Window.orderBy("locus")) - 1)
     slots = loci.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("slot")) if n else loci.sparkSession.range(0).select(F.col("id").alias("replicate"), F.lit(0).alias("slot"))
-    return slots.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "replicate", "slot"), F.lit(max(1, n))).cast("int")).join(numbered, "place").select("replicate", "slot", "locus")
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("slot").cast("string")).cast("binary"))
+    drawn = F.pmod(F.conv(F.left(hashed, F.lit(12)), 16, 10).cast("long"), F.lit(max(1, n))).cast("int")
+    return slots.withColumn("place", drawn).join(numbered, "place").select("replicate", "slot", "locus")
 
 
 def bootstrap_counts(drawn: DataFrame) -> DataFrame:

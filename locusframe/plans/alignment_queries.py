@@ -238,7 +238,13 @@ def partition_slices(p: Proxy) -> DataFrame:
     return concat.partition_slices(rows, [("a", [(1, 3), (8, 9)]), ("b", [(4, 7)])])
 
 
-@query()
+@query(
+    "aln",
+    sql="""WITH drawn AS (SELECT r.replicate, l.locus, n, row_number() OVER (PARTITION BY r.replicate ORDER BY md5('11:' || r.replicate || ':' || l.locus), l.locus) AS draw
+        FROM (SELECT locus, max(length(seq)) AS n FROM aln GROUP BY locus) l, (VALUES (1), (2), (3)) AS r(replicate)),
+    grid AS (SELECT d.*, t.taxon FROM drawn d, (SELECT DISTINCT taxon FROM aln) t WHERE draw <= 10)
+    SELECT g.replicate, g.taxon, string_agg(coalesce(a.seq, repeat('?', g.n)), '' ORDER BY draw) AS seq FROM grid g LEFT JOIN aln a ON g.locus = a.locus AND g.taxon = a.taxon GROUP BY g.replicate, g.taxon""",
+)
 def sample_concat(p: Proxy) -> DataFrame:
     return concat.sample_concat(p.aln, 10, 3, seed=11)
 

@@ -91,7 +91,12 @@ def reroot_trees(p: Proxy) -> DataFrame:
     return trees.reroot_trees(_trees(p), "a").select("tree_id", "newick")
 
 
-@query()
+@query(
+    sql="""WITH loci AS (SELECT s_name AS locus, row_number() OVER (ORDER BY s_name) - 1 AS place FROM (SELECT DISTINCT s_name FROM supplier) AS s),
+    slots AS (SELECT r.r AS replicate, s.place AS slot FROM range(20) AS r(r), loci s),
+    drawn AS (SELECT CAST('0x' || substr(md5('5:' || replicate || ':' || slot), 1, 12) AS BIGINT) % (SELECT count(*) FROM loci) AS place FROM slots)
+    SELECT l.locus, count(*) AS n FROM drawn d JOIN loci l ON d.place = l.place GROUP BY l.locus"""
+)
 def bootstrap_counts(p: Proxy) -> DataFrame:
     return trees.bootstrap_counts(trees.bootstrap_replicates(p.supplier.select(F.col("s_name").alias("locus")), 20, seed=5))
 
