@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 #: Characters of a text normalised at once, words remembered, and bytes of the longest word that is.
-CHUNK, MOST_WORDS, LONG_WORD = 1 << 16, 600_000, 256
+CHUNK, MOST_WORDS, LONG_WORD = 1 << 16, 400_000, 256
 _NO_MERGE = (1 << 62, -1)
 
 

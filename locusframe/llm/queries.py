@@ -142,5 +142,54 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, size * copies AS t
 FROM taken"""
 
 
+def _op1_sql() -> str:
+    n, least = probminhash.WORDS, probminhash.SIMILARITY - 1e-9
+    return rf"""
+WITH RECURSIVE texts AS (SELECT md5(coalesce(text, '')) AS k, min(doc_id) AS first_id, any_value(coalesce(text, '')) AS text FROM documents GROUP BY 1),
+words AS (SELECT k, [x FOR x IN regexp_split_to_array(text, '\s+') IF x <> ''] AS w FROM texts),
+shingles AS (SELECT k, array_to_string(w[i : i + {n - 1}], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM words WHERE len(w) > 0) AS places),
+weights AS (SELECT k, s, 1 + ln(count(*)) AS v FROM shingles GROUP BY k, s),
+totals AS (SELECT k, sum(v) AS total FROM weights GROUP BY k),
+common AS (SELECT x.k AS a, y.k AS b, x.v AS va, y.v AS vb FROM weights x JOIN weights y ON x.s = y.s AND x.k < y.k),
+-- the similarity is at most the common shingles' share of either text
+pairs AS (
+    SELECT a, b, ta.total AS ta, tb.total AS tb, sum(va) AS ca, sum(vb) AS cb FROM common JOIN totals ta ON a = ta.k JOIN totals tb ON b = tb.k
+    GROUP BY a, b, ta.total, tb.total HAVING sum(va) >= {least} * ta.total AND sum(vb) >= {least} * tb.total),
+ratios AS (SELECT a, b, vb / va AS r, sum(va) AS part FROM common SEMI JOIN pairs USING (a, b) GROUP BY a, b, vb / va),
+maxima AS (SELECT a, b, r, part, sum(greatest(c.va, c.vb / r)) AS m FROM ratios JOIN common c USING (a, b) GROUP BY a, b, r, part),
+alike AS (SELECT a, b FROM maxima JOIN pairs USING (a, b) GROUP BY a, b HAVING sum(part / (m + ta - ca + (tb - cb) / r)) >= {least}),
+links AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+reach AS (SELECT k, k AS r FROM texts UNION SELECT reach.k, links.b FROM reach JOIN links ON reach.r = links.a),
+classes AS (SELECT reach.k, min(t.first_id) AS class_id, upper(min_by(t.k, t.first_id)) AS class_text FROM reach JOIN texts t ON reach.r = t.k GROUP BY reach.k)
+SELECT d.doc_id, c.class_id, c.class_text FROM documents d JOIN classes c ON md5(coalesce(d.text, '')) = c.k"""
+
+
+def _op2_sql() -> str:
+    n = suffix_dedup.LENGTH
+    return f"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, s, substr(h, 2 * s + 1, {2 * n}) AS g FROM (SELECT doc_id, h, unnest(range(greatest(length(h) // 2 - {n - 1}, 0))) AS s FROM docs) AS starts),
+firsts AS (SELECT g, min(doc_id) AS least FROM strings GROUP BY g),
+hits AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM strings JOIN firsts USING (g) WHERE least < doc_id),
+islands AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + {n} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM hits),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + {n} AS b FROM islands GROUP BY doc_id, island),
+pieces AS (
+    SELECT doc_id, a AS place, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, a AS to_ FROM spans
+    UNION ALL SELECT d.doc_id, length(h) // 2 + 1, coalesce(max(b), 0), length(h) // 2 FROM docs d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id, h),
+kept AS (SELECT p.doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (to_ - from_)), '' ORDER BY place) AS h FROM pieces p JOIN docs d ON p.doc_id = d.doc_id GROUP BY p.doc_id),
+counts AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM docs d JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN counts c ON d.doc_id = c.doc_id"""
+
+
+def _op3_sql() -> str:
+    """For pages whose main text is an article of headings and paragraphs, as all of the tables' are."""
+    return r"""
+WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+lines AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '\s+', ' ', 'g'), '<br>', ' ', 'g'), '</?(h1|p)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS l FROM articles),
+plain AS (SELECT page_id, url, [y FOR y IN [trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) FOR x IN l] IF y <> ''] AS l FROM lines)
+SELECT page_id, url, array_to_string(l, chr(10)) AS text, CAST(length(array_to_string(l, chr(10))) AS BIGINT) AS n_chars FROM plain"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": _op6_sql(), "op10_url_filter": _op10_sql()}
+    return {"op1_probminhash": _op1_sql(), "op2_suffix_dedup": _op2_sql(), "op3_html_extract": _op3_sql(), "op6_mixing": _op6_sql(), "op10_url_filter": _op10_sql()}
