@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship_package
 
 #: Rows in an Arrow batch; texts can be long, so few rows.
-ARROW_ROWS = 256
+ARROW_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,9 +34,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 #: Members of a band up to which unseen pairs come from a self-join; beyond, they are compared in blocks.
 SMALL_BAND, BLOCK = 16, 512
+#: Edges (16 bytes each) up to which one task finds the components.
+MOST_EDGES = 200_000
+#: Rows of 40 bytes that may be sent to every task.
+MOST_BROADCAST = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0x632BE59BD9B4E019)
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 
 
 class _WordHashes(dict):
@@ -110,7 +114,7 @@ def signatures(texts: int, text: np.ndarray, shingle: np.ndarray, count: np.ndar
         go = time < worst[doc]  # later arrivals of the others can't be first anywhere
         seed, rate, doc, time = seed[go], rate[go], doc[go], time[go]
         arrival += block
-        block = min(64, max(1, 20_000 // max(1, len(doc)))) if arrival > 1 else 1
+        block = min(64, max(1, 8_000 // max(1, len(doc)))) if arrival > 1 else 1
     return (mix64(winner) >> np.uint64(48)).astype(np.uint16).reshape(texts, components)
 
 
@@ -181,9 +185,11 @@ def _agree(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
 
 def _texts(wanted: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, text) of some nodes: that of the document with the node's smallest identifier."""
-    needed = wanted.join(signed.select("node", "key", "least"), "node")
+    needed = cut(wanted.join(signed.select("node", "key", "least"), "node").select("node", F.col("key").alias("k"), F.col("least").alias("l")))
+    if needed.count() <= MOST_BROADCAST:  # few short rows: the documents need not move
+        needed = F.broadcast(needed)
     texts = docs.select(F.col(id_col).cast("long").alias("least"), _key(text_col).alias("key"), F.col(text_col).alias("text"))
-    return texts.join(needed, (texts["key"] == needed["key"]) & texts["least"].eqNullSafe(needed["least"])).select("node", "text")
+    return texts.join(needed, (F.col("key") == F.col("k")) & F.col("least").eqNullSafe(F.col("l"))).select("node", "text")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -245,8 +251,38 @@ def _verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, t
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long").distinct())
 
 
+def _union_find(edges: DataFrame) -> DataFrame:
+    """The components of few edges, in one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while (up := parent.setdefault(root, root)) != root:
+                root = up
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+        nodes = sorted(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(work, "node long, label long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each edge end's component, by neighbours' labels and pointer jumping."""
+    """(node, label): the smallest node of each edge end's component.
+
+    Up to ``MOST_EDGES`` edges go to one task; more are worked on by neighbours' labels and pointer jumping.
+    """
+    edges = cut(edges)
+    if edges.count() <= MOST_EDGES:
+        return cut(_union_find(edges))
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
     while True:

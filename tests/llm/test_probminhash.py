@@ -90,6 +90,8 @@ def test_classes(spark, documents, rng):
 def test_large_bands_lose_no_link(monkeypatch, documents, rng):
     monkeypatch.setattr(M, "SMALL_BAND", 4)
     monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(M, "MOST_EDGES", 0)
+    monkeypatch.setattr(M, "MOST_BROADCAST", 0)
     hot = prose(rng, 60)
     rows = [(k, near(rng, hot, rng.choice([0.01, 0.04, 0.06]))) for k in range(90)]
     classes, find = _classes(rows)
