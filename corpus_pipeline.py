@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that documents of smaller identifiers have; texts that go whole go with their rows."""
+    """Texts without the passages that documents of smaller identifiers have; rows with nothing left, or nothing to begin with, go."""
     left = suffix_dedup.remove_repeats(docs).where("text <> ''")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
