@@ -44,10 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='locusframe-')}")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder: the rows are computed once and survive lost executors."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut the lineage in the shared folder: the rows are computed once and survive lost executors.
+
+    What is cut is small beside the documents, so one file for each core (or ``parts`` files) will do.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(parts or df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
 
 
 def filesystem(uri: str):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix64, pack40, small_batches, unpack40
+from .common import chunks, cut, mix64, pack40, parts_for, small_batches, unpack40
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -160,7 +160,10 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(packed, pa.binary())], names=["id", "key", "signature"])
 
     signed = src.mapInArrow(work, "id long, key binary, signature binary")
-    return cut(signed.groupBy("key").agg(F.min("id").alias("least"), F.first("signature").alias("signature")).select(F.monotonically_increasing_id().alias("node"), "key", "least", "signature"))
+    merged = signed.groupBy("key").agg(F.min("id").alias("least"), F.first("signature").alias("signature"))
+    # written once, as the numbers of the nodes must not change when a part is computed again
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, parts_for(docs, 64.0))
+    return cut(merged.coalesce(parts).select(F.monotonically_increasing_id().alias("node"), "key", "least", "signature"), parts)
 
 
 def _bands(signed: DataFrame, bands: int, rows: int) -> DataFrame:
