@@ -36,7 +36,7 @@ GRAM = 26
 #: A difference cover: every difference mod 7 is one of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Suffixes sorted at a time, and bytes of text whose entries are aggregated before they leave a task.
-BLOCK, GATHER = 1 << 19, 16 << 20
+BLOCK, GATHER = 1 << 18, 12 << 20
 #: MB of a plan's estimated size for each bucket.
 BUCKET_MB = 8.0
 LEAST_BUCKETS = 64
@@ -71,7 +71,7 @@ def sample_ranks(words: np.ndarray, ends: np.ndarray, period: int, cover: tuple[
     """
     place = np.arange(len(words))
     sample = np.flatnonzero(np.isin(place % period, cover) & (ends > place))
-    rank = np.zeros(len(words) + 1, np.int64)
+    rank = np.zeros(len(words) + 1, np.int32)
     if not len(sample):
         return rank
     rank[sample] = _dense(words[sample])
@@ -81,7 +81,7 @@ def sample_ranks(words: np.ndarray, ends: np.ndarray, period: int, cover: tuple[
         ahead = sample + shift
         inside = ahead < ends[sample]
         second = np.where(inside, rank[np.minimum(ahead, len(words))], 0)
-        rank[sample] = _dense(rank[sample] * (len(words) + 2) + second)
+        rank[sample] = _dense(rank[sample].astype(np.int64) * (len(words) + 2) + second)
         covered += shift
     return rank
 
@@ -158,8 +158,8 @@ def repeated_spans(texts: list[bytes], owners: np.ndarray, length: int = LENGTH)
     begins = np.cumsum(sizes + 8) - (sizes + 8)
     data = np.frombuffer(b"".join([t + b"\0" * 8 for t in texts]) + b"\0" * 8, np.uint8)
     words = _words(data)
-    text = np.repeat(np.arange(len(texts)), sizes + 8)
-    ends = np.zeros(len(words), np.int64)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 8)
+    ends = np.zeros(len(words), np.int32)  # a bucket's blocks are far below 2 GB
     ends[: len(text)] = (begins + sizes)[text]
     starts = np.maximum(sizes - length + 1, 0)
     total = int(starts.sum())
