@@ -1,7 +1,6 @@
 """MinHash near-duplicates by ProbMinHash.
 
-A document's shingles (five words) are weighted by how often they occur, damped to 1 + ln(count): with bare
-counts a line repeated hundreds of times would make unlike documents alike. Where no shingle recurs, the
+A document's shingles (five words) are weighted by how often they occur. Where no shingle recurs, the
 similarity is the Jaccard similarity of the shingle sets. Every shingle is a Poisson process
 whose rate is its weight: exponential arrivals, each at a random signature component; a component keeps the
 shingle that arrives first. Two signatures agree in a component with the probability Jaccard similarity of
@@ -17,7 +16,7 @@ similarity from the whole texts. Exact copies are one node from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -84,8 +83,8 @@ def weighted_shingles(texts: Sequence[str | None], words: int = WORDS) -> tuple[
     return text[at], mixed[at], np.diff(np.append(at, len(text)))
 
 
-def weight_of(count: np.ndarray) -> np.ndarray:
-    """A shingle's weight by its occurrences."""
+def damped(count: np.ndarray) -> np.ndarray:
+    """Another weight than the count, for ``probability_jaccard``: 1 + ln(count)."""
     return 1 + np.log(count)
 
 
@@ -93,7 +92,7 @@ def signatures(texts: int, text: np.ndarray, shingle: np.ndarray, count: np.ndar
     """A row of ``components`` 16-bit values for each of ``texts`` texts; texts without shingles have zeros."""
     first = np.full(texts * components, np.inf)
     winner = np.zeros(texts * components, np.uint64)
-    seed, rate, doc = shingle.copy(), weight_of(count), text
+    seed, rate, doc = shingle.copy(), count.astype(np.float64), text
     time = np.zeros(len(doc))
     worst = np.full(texts, np.inf)
     arrival, block = 0, 1
@@ -118,9 +117,13 @@ def signatures(texts: int, text: np.ndarray, shingle: np.ndarray, count: np.ndar
     return (mix64(winner) >> np.uint64(48)).astype(np.uint16).reshape(texts, components)
 
 
-def probability_jaccard(a: str | None, b: str | None, words: int = WORDS) -> float:
-    """The exact similarity: sum over common shingles d of 1 / sum over all e of max(a_e / a_d, b_e / b_d)."""
+def probability_jaccard(a: str | None, b: str | None, words: int = WORDS, weight: Callable[[np.ndarray], np.ndarray] = damped) -> float:
+    """The exact similarity: sum over common shingles d of 1 / sum over all e of max(a_e / a_d, b_e / b_d).
+
+    Its default weight is ``damped``; ``near_duplicates`` weighs by counts, ``np.asarray`` here.
+    """
     text, shingle, count = weighted_shingles([a, b], words)
+    count = weight(count)
     return _exact(shingle[text == 0], count[text == 0], shingle[text == 1], count[text == 1])
 
 
@@ -129,7 +132,7 @@ def _exact(sa: np.ndarray, ca: np.ndarray, sb: np.ndarray, cb: np.ndarray) -> fl
         return 0.0
     every, inverse = np.unique(np.concatenate((sa, sb)), return_inverse=True)
     x, y = np.zeros(len(every)), np.zeros(len(every))
-    x[inverse[: len(sa)]], y[inverse[len(sa) :]] = weight_of(ca), weight_of(cb)
+    x[inverse[: len(sa)]], y[inverse[len(sa) :]] = ca, cb
     both = (x > 0) & (y > 0)
     if not both.any():
         return 0.0

@@ -97,3 +97,24 @@ def test_large_bands_lose_no_link(monkeypatch, documents, rng):
     classes, find = _classes(rows)
     got = M.near_duplicates(documents(rows)).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == sorted((i, classes[find(t)]) for i, t in rows)
+
+
+def counted(a, b):
+    """The similarity by counts, from its definition."""
+    x, y = ({s: round(float(np.exp(v - 1))) for s, v in weights(t).items()} for t in (a, b))
+    every = set(x) | set(y)
+    return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in set(x) & set(y))
+
+
+def test_counts_are_the_weights(documents, rng):
+    line, rows = prose(rng, 8), []
+    for k in range(6):  # a line 30 times and 80 words, of which 20 side by side differ
+        words = prose(rng, 80).split()
+        other = [*words[:40], *prose(rng, 20).split(), *words[60:]]
+        rows += [(2 * k, " ".join([f"{line} {k}"] * 30 + words)), (2 * k + 1, " ".join([f"{line} {k}"] * 30 + other))]
+    rows += [(100 + k, f"{line} x " * 5 + prose(rng, 60)) for k in range(40)]  # the same line, but unlike texts
+    for (_, a), (_, b) in zip(rows[:12:2], rows[1:12:2]):
+        assert abs(M.probability_jaccard(a, b, weight=np.asarray) - counted(a, b)) < 1e-9
+        assert counted(a, b) >= 0.82 and exact(a, b) < 0.79
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(documents(rows)).collect()}
+    assert got == {k: k - k % 2 if k < 12 else k for k, _ in rows}
