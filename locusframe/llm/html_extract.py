@@ -1,16 +1,17 @@
 """HTML extraction by template deduction from equivalence classes.
 
-Tokens of a page are its tags and text runs, each in its role: the path of containers around it. Over the
-pages of one host, tokens with equal occurrence vectors (how often in which page) form a class; a class is
-taken if it is large and frequent. Vectors are never built: each is the sum of hashes of (page, count), so
-equal sums mean equal vectors, and sums are pre-aggregated before the shuffle however many pages a host has.
+Tokens of a page are its tags and text runs, each in its role: the path of containers around it. Pages of one
+host with the same text outside boilerplate parts are one body, and one of them stands for it. Over the
+bodies of one host, tokens with equal occurrence vectors (how often in which body) form a class; a class is
+taken if it is large and frequent. Vectors are never built: each is the sum of hashes of (body, count), so
+equal sums mean equal vectors, and sums are pre-aggregated before the shuffle however many bodies a host has.
 
 On a page, a class is valid if its tokens come in the class's order and inside one gap of the class that
 encloses it. Valid classes, the most frequent outermost, are the template; what lies between its tokens are
 the slots. The main text is that of the slots whose role is an article or main part and no boilerplate part,
 or, where a template has no such part, of the role with the most text. Text runs that are template tokens
-themselves are boilerplate too: at once outside the main part, and inside it only if nearly all of many
-pages have them, so that passages which some pages share stay.
+themselves are boilerplate too: at once outside the main part, and inside it only if they are in no heading,
+paragraph or the like and nearly all of many bodies have them, so that passages which pages share stay.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from pyspark.sql import types as T
 from .common import cut, small_batches
 from .url_filter import split_url
 
-#: A class needs so many tokens, and each of them so many pages and such a share of the host's pages.
+#: A class needs so many tokens, and each of them so many bodies and such a share of the host's bodies.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 3, 0.2
-#: Inside the main part, a constant text run is boilerplate with so many pages and such a share of them.
+#: Inside the main part, a constant text run outside PROSE is boilerplate with so many bodies and such a share of them.
 CONSTANT_PAGES, CONSTANT_SHARE = 20, 0.95
 #: Templates of hosts with such a share of all pages are sent to every task; other pages meet theirs by a join.
 HOT_SHARE = 0.002
@@ -53,6 +54,8 @@ _SPACE = re.compile(r"\s+")
 CONTAINERS = frozenset("html head body header footer nav main article section aside div form ul ol dl table figure details dialog menu fieldset".split())
 #: Elements that begin and end a block of text.
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot blockquote pre hr figcaption address summary legend center".split())
+#: Elements that carry an article's own text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre".split())
 _BOILERPLATE_TAGS = frozenset("head header footer nav aside form dialog menu fieldset button label select option".split())
 _BOILERPLATE_WORDS = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|sidebar|side|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|newsletter|subscribe|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|search|skip|copyright|legal|disclaimer|trending|popular|tags?|meta|byline)(?:$|[\s_-])"
@@ -69,6 +72,7 @@ class Run:
     text: str
     main: bool
     boilerplate: bool
+    prose: bool = False
 
     @property
     def key(self) -> int:
@@ -83,11 +87,11 @@ def runs(page: str) -> list[Run]:
     """
     out: list[Run] = []
     stack: list[tuple[str, str, bool, bool]] = []  # element, role, in the main part, in boilerplate
-    at = 0
+    at, prose = 0, False
 
     def put(tag: str, text: str) -> None:
         top = stack[-1] if stack else ("", "", False, False)
-        out.append(Run(tuple(s[1] for s in stack), tag, text, top[2], top[3]))
+        out.append(Run(tuple(s[1] for s in stack), tag, text, top[2], top[3], prose))
 
     def put_text(text: str) -> None:
         if text:
@@ -102,6 +106,8 @@ def runs(page: str) -> list[Run]:
             if m["raw"]:
                 put(m["raw"].lower(), "")
             continue
+        if tag in BLOCKS:  # a block of text lasts until another block begins or ends
+            prose = tag in PROSE and not m["close"]
         if tag not in CONTAINERS:
             put(("/" if m["close"] else "") + tag, "")
         elif m["close"]:
@@ -124,7 +130,7 @@ def runs(page: str) -> list[Run]:
 
 @dataclass(frozen=True)
 class Template:
-    """A host's classes: token key -> (class, place in the class), pages of each class, pages of the host."""
+    """A host's classes: token key -> (class, place in the class), bodies of each class, bodies of the host."""
 
     tokens: dict[int, tuple[int, int]]
     support: tuple[int, ...]
@@ -170,7 +176,7 @@ def main_text(page: str, template: Template | None = None) -> str:
         return template.pages >= CONSTANT_PAGES and template.support[template.tokens[keys[k]][0]] >= CONSTANT_SHARE * template.pages
 
     slots = [k for k, r in enumerate(found) if not r.tag and not r.boilerplate and r.text.strip()]
-    chosen = {k for k in slots if found[k].main and not is_constant(k)}
+    chosen = {k for k in slots if found[k].main and (found[k].prose or not is_constant(k))}
     if not any(r.main for r in found):
         size: Counter[tuple[str, ...]] = Counter()
         for k in slots:
@@ -200,32 +206,59 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: A page's token: its key, where it comes first and how often.
+_TOKEN = np.dtype([("key", "<i8"), ("at", "<i4"), ("n", "<i4")])
+
+
+def body_of(found: Sequence[Run], keys: Sequence[int]) -> int:
+    """A hash of a page's text outside boilerplate parts, of the main part alone if there is one."""
+    main = any(r.main for r in found)
+    own = [key for r, key in zip(found, keys) if not r.tag and not r.boilerplate and (r.main or not main) and r.text.strip()]
+    return _signed(xxhash.xxh64_intdigest(np.array(own, "<i8").tobytes()))
+
+
 def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", least_tokens: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, pages, and template: an array of (key, class, place, support) of the host's large and frequent classes.
+    """host, pages, bodies, and classes: the support, sums and token keys of the host's large and frequent classes.
 
     Hosts with no such class have no row; rows without a host share one template under the empty host.
-    A host's template is bounded by ``1 / least_share`` pages' worth of tokens, whatever the number of pages.
+    Supports are bodies. A host's template is bounded by ``1 / least_share`` bodies' worth of tokens, whatever
+    the number of pages.
     """
     small_batches(pages.sparkSession)
-    src = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.col(id_col).cast("string").alias("id"))
+    src = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], list] = {}
-            for url, page, page_id in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "id"))):
-                host = split_url(url)[0]
-                keys = [r.key for r in runs(page or "")]
-                seen, first = Counter(keys), {}
+            hosts, bodies, packed = [], [], []
+            for url, page in zip(*(batch.column(c).to_pylist() for c in ("url", "html"))):
+                found = runs(page or "")
+                keys = [r.key for r in found]
+                first: dict[int, int] = {}
                 for at, key in enumerate(keys):
                     first.setdefault(key, at)
-                whole = max(1, len(keys))
-                own = (page_id or "").encode() + b"|" + str(len(page or "")).encode()
-                for key, n in [*seen.items(), (0, 1)]:  # the key 0 counts the host's pages
+                tokens = np.zeros(len(first), _TOKEN)
+                tokens["key"], tokens["at"], tokens["n"] = list(first), list(first.values()), [n for n in Counter(keys).values()]
+                hosts.append(split_url(url)[0])
+                bodies.append(body_of(found, keys))
+                packed.append(tokens.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(packed, pa.binary())], names=["host", "body", "tokens"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple[str, int], list] = {}
+            for host, body, packed, copies in zip(*(batch.column(c).to_pylist() for c in ("host", "body", "tokens", "copies"))):
+                tokens = np.frombuffer(packed, _TOKEN)
+                whole = max(1, int(tokens["n"].sum()))
+                own, hashes = str(body).encode(), {}
+                # the key 0 counts the host's bodies, and its times the pages
+                for key, at, n in [*tokens.tolist(), (0, 0, copies)]:
                     s = sums.setdefault((host, key), [0, 0, 0, 0.0])
-                    s[0] += xxhash.xxh64_intdigest(own, seed=n)
+                    if (h := hashes.get(n)) is None:
+                        h = hashes[n] = xxhash.xxh64_intdigest(own, seed=n)
+                    s[0] += h
                     s[1] += 1
                     s[2] += n
-                    s[3] += first.get(key, 0) / whole
+                    s[3] += at / whole
             if sums:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -238,20 +271,23 @@ def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "ht
                         pa.array([s[2] for s in sums.values()], pa.int64()),
                         pa.array([s[3] for s in sums.values()], pa.float64()),
                     ],
-                    names=["host", "key", "low", "high", "pages", "times", "place"],
+                    names=["host", "key", "low", "high", "bodies", "times", "place"],
                 )
 
-    counted = src.mapInArrow(count, "host string, key long, low long, high long, pages long, times long, place double")
+    parsed = src.mapInArrow(parse, "host string, body long, tokens binary")
+    distinct = parsed.groupBy("host", "body").agg(F.min("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    counted = distinct.mapInArrow(count, "host string, key long, low long, high long, bodies long, times long, place double")
     low = F.sum("low")
     tokens = counted.groupBy("host", "key").agg(
-        F.pmod(low, F.lit(1 << 32)).alias("low"), F.sum("high").alias("high"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("place").alias("place")
+        F.pmod(low, F.lit(1 << 32)).alias("low"), F.sum("high").alias("high"), F.sum("bodies").alias("bodies"), F.sum("times").alias("times"), F.sum("place").alias("place")
     )
-    tokens = cut(tokens.where((F.col("key") == 0) | (F.col("pages") >= least_pages)))  # the pages are parsed once for both uses
-    hosts = tokens.where("key = 0").select("host", F.col("pages").alias("all_pages"))
-    frequent = tokens.where((F.col("key") != 0) & (F.col("pages") >= least_pages)).join(hosts, "host").where(F.col("pages") >= least_share * F.col("all_pages"))
-    classes = frequent.groupBy("host", "low", "high", "pages", "times").agg(F.count(F.lit(1)).alias("size"), F.first("all_pages").alias("all_pages"), F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "key"))).alias("members"))
+    tokens = cut(tokens.where((F.col("key") == 0) | (F.col("bodies") >= least_pages)))  # the pages are parsed once for both uses
+    hosts = tokens.where("key = 0").select("host", F.col("bodies").alias("all_bodies"), F.col("times").alias("all_pages"))
+    frequent = tokens.where((F.col("key") != 0) & (F.col("bodies") >= least_pages)).join(hosts, "host").where(F.col("bodies") >= least_share * F.col("all_bodies"))
+    classes = frequent.groupBy("host", "low", "high", "bodies", "times").agg(F.count(F.lit(1)).alias("size"), F.first("all_pages").alias("all_pages"), F.first("all_bodies").alias("all_bodies"), F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("bodies")).alias("place"), "key"))).alias("members"))
     classes = classes.where(F.col("size") >= least_tokens)
-    return classes.groupBy("host").agg(F.first("all_pages").alias("pages"), F.sort_array(F.collect_list(F.struct(F.col("pages").alias("support"), "low", "high", "times", F.col("members.key").alias("keys"))), asc=False).alias("classes"))
+    of_class = F.struct(F.col("bodies").alias("support"), "low", "high", "times", F.col("members.key").alias("keys"))
+    return classes.groupBy("host").agg(F.first("all_pages").alias("pages"), F.first("all_bodies").alias("bodies"), F.sort_array(F.collect_list(of_class), asc=False).alias("classes"))
 
 
 def large_of(pages_col: str, total: int) -> F.Column:
@@ -272,7 +308,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
     keep = [c for c in (pages.columns if keep is None else keep) if c not in (html_col, "text", "n_chars")]
     host = F.coalesce(F.translate(F.regexp_extract(F.col(url_col), "(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
     src = pages.select(*[F.col(c) for c in keep], F.col(html_col).alias("__html"), host.alias("__host"))
-    found = templates.select(F.col("host").alias("__host"), F.col("pages").alias("__pages"), F.col("classes").alias("__classes"))
+    found = templates.select(F.col("host").alias("__host"), F.col("pages").alias("__pages"), F.col("bodies").alias("__bodies"), F.col("classes").alias("__classes"))
     hot = F.broadcast(found.where(large_of("__pages", total)))
     src = src.join(hot, "__host").unionByName(src.join(hot.select("__host"), "__host", "left_anti").join(found.where(~large_of("__pages", total)), "__host", "left"))
     schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -281,7 +317,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
         known: dict[str, Template] = {}
         for batch in batches:
             texts = []
-            counts, classes = batch.column("__pages"), batch.column("__classes")
+            counts, classes = batch.column("__bodies"), batch.column("__classes")
             for k, (page, host) in enumerate(zip(batch.column("__html").to_pylist(), batch.column("__host").to_pylist())):
                 if not counts[k].is_valid:
                     texts.append(main_text(page or ""))

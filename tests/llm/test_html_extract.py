@@ -44,3 +44,21 @@ def test_classes_must_be_ordered_and_nested():
     assert H.valid_classes([1, 9, 3, 4, 2], t) == {0, 1}
     assert H.valid_classes([1, 3, 2, 4], t) == {0}
     assert H.valid_classes([2, 1], t) == set()
+
+
+def test_copies_on_a_host_keep_their_text(spark, rng):
+    body = "".join(f"<p>{prose(rng, 12)}</p>" for _ in range(4))
+    page = f"<html><body><nav><a>Home</a></nav><article><h1>Title</h1>{body}</article><div>All about us</div><footer>f</footer></body></html>"
+    loose = page.replace("</h1>", "</h1><div>Loose words</div>")
+    rows = [(k, f"https://copies.org/{k}", page) for k in range(30)] + [(100 + k, f"https://loose.org/{k}", loose) for k in range(30)]
+    # one article, each time with another last line
+    rows += [(200 + k, f"https://near.org/{k}", page.replace("</article>", f"<p>Copy {k}</p></article>")) for k in range(30)]
+    # a notice in no paragraph, on all pages of unlike articles
+    rows += [(300 + k, f"https://notice.org/{k}", f"<html><body><nav><a>Home</a></nav><article><div>Buy now</div><p>{prose(rng, 20)}</p></article><footer>f</footer></body></html>") for k in range(30)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "Title\n" + body.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
+    for k in range(30):
+        assert got[k] == text
+        assert got[100 + k] == text.replace("Title\n", "Title\nLoose words\n")
+        assert got[200 + k] == f"{text}\nCopy {k}"
+        assert got[300 + k] and "Buy now" not in got[300 + k]
