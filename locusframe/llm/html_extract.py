@@ -10,8 +10,9 @@ On a page, a class is valid if its tokens come in the class's order and inside o
 encloses it. Valid classes, the most frequent outermost, are the template; what lies between its tokens are
 the slots. The main text is that of the slots whose role is an article or main part and no boilerplate part,
 or, where a template has no such part, of the role with the most text. Text runs that are template tokens
-themselves are boilerplate too: at once outside the main part, and inside it only if they are in no heading,
-paragraph or the like and nearly all of many bodies have them, so that passages which pages share stay.
+themselves are boilerplate too, so far as most bodies have them: where there is no main part at once, and inside
+it only if they are in no heading, paragraph or the like and nearly all of many bodies have them. So passages
+that some pages share stay.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .url_filter import split_url
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 3, 0.2
 #: Inside the main part, a constant text run outside PROSE is boilerplate with so many bodies and such a share of them.
 CONSTANT_PAGES, CONSTANT_SHARE = 20, 0.95
+#: Without a main part, a text run of a class counts as template with such a share of the host's bodies; tags need less.
+TEXT_SHARE = 0.8
 #: Templates of hosts with such a share of all pages are sent to every task; other pages meet theirs by a join.
 HOT_SHARE = 0.002
 #: Templates that a task keeps unpacked.
@@ -168,7 +171,7 @@ def main_text(page: str, template: Template | None = None) -> str:
 
     def is_template(k: int) -> bool:
         place = template.tokens.get(keys[k]) if keys else None
-        return place is not None and place[0] in valid
+        return place is not None and place[0] in valid and template.support[place[0]] >= TEXT_SHARE * template.pages
 
     def is_constant(k: int) -> bool:
         if not is_template(k):

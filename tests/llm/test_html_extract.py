@@ -62,3 +62,18 @@ def test_copies_on_a_host_keep_their_text(spark, rng):
         assert got[100 + k] == text.replace("Title\n", "Title\nLoose words\n")
         assert got[200 + k] == f"{text}\nCopy {k}"
         assert got[300 + k] and "Buy now" not in got[300 + k]
+
+
+def test_copies_without_an_article_keep_their_text(spark, rng):
+    def page(body):
+        return f"<html><body><nav><a>Home</a></nav><div class='top'>Welcome</div><div class='x'><div>{body}</div></div><div>All about us</div><footer>f</footer></body></html>"
+
+    rows, expected = [], {}
+    for host, pages, copies, last in (("few.org", 10, 3, False), ("near.org", 10, 3, True), ("hot.org", 60, 20, True)):
+        shared = [prose(rng, 12) for _ in range(4)]
+        for k in range(pages):
+            lines = [*shared, *([f"Copy {k}"] if last else [])] if k < copies else [prose(rng, 12) for _ in range(3)]
+            expected[len(rows)] = "\n".join(lines)
+            rows.append((len(rows), f"https://{host}/{k}", page("".join(f"<p>{x}</p>" for x in lines))))
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
