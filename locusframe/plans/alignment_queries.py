@@ -161,6 +161,11 @@ def screen_nx(p: Proxy) -> DataFrame:
     return alignments.screen_problems(p.aln.where("row_ord < 2"))
 
 
+@query("screen_aln", sql="SELECT * FROM screen_aln WHERE locus NOT IN (SELECT locus FROM screen_aln WHERE regexp_matches(seq, '[NnXx]'))")
+def screen_nx_all_rows(p: Proxy) -> DataFrame:
+    return alignments.screen_problems(p.screen_aln)
+
+
 @query("aln", sql=f"SELECT * FROM aln WHERE {_FULL}")
 def remove_empty_taxa(p: Proxy) -> DataFrame:
     return alignments.remove_empty_taxa(p.aln)

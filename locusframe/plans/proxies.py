@@ -68,6 +68,11 @@ PROXIES = {
     + _NOISE
     + """) AS noise
                 FROM {documents}) AS parts) AS rows_of""",
+    # the same with rare N and X, so that some loci have none in any row
+    "screen_aln": """
+        SELECT locus, row_ord, taxon,
+            CASE WHEN substr(md5(locus || taxon), 1, 1) = '0' THEN seq WHEN substr(md5(locus || taxon), 1, 2) = '1f' THEN translate(seq, 'N', 'x') ELSE translate(seq, 'N', 'A') END AS seq
+        FROM ({aln}) AS all_rows""",
     # near-random alignments of 32 columns
     "random_aln": """
         SELECT 'uce-' || CAST(CAST(floor(doc_id / 8.0) AS BIGINT) AS STRING) AS locus, CAST(doc_id % 8 AS INT) AS row_ord, 'taxon_' || CAST(doc_id % 8 AS STRING) AS taxon,
