@@ -1,7 +1,8 @@
 """Sequences, hits, alignments, intervals and reads derived from the tables of a data folder.
 
 Each proxy is one SQL text that both engines run; ``{table}`` stands for a table. Loci, contigs and
-alignments grow with the tables. Every row of a table takes part.
+alignments grow with the tables. Every row of a table is read; by design, ``matches`` and the queries' uneven
+alignments leave rows out by their values, for matrices and alignments with missing taxa.
 """
 
 from __future__ import annotations
