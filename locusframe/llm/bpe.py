@@ -1,13 +1,17 @@
 """BPE with word ends as a bounded-lookahead streaming transducer, and an incremental decoder.
 
-How far to the right of a position can bytes still change the tokens that end at it? A merge (u, v) is
-prevented by an earlier merge whose left token is a tail of v, that one by a still earlier merge on its
-right, and so on; ranks fall along such a chain. ``sufficient_lookahead`` finds the longest chain's bytes
-from the merge list. ``WordStream`` takes a word's bytes in pieces, keeps a little more than the lookahead,
-and emits tokens once no further byte can change them; what follows an emitted token's end is tokenised
-as if it began there, since no merge crosses a token's end. A text goes through in chunks, cut where the
-normaliser and the splitter can't see across, so memory doesn't grow with the text or with a word. Whole
-short words are remembered (a bounded table), as most words recur.
+How far to the right of a token's end can bytes still change that end? A merge (x, y) across it needs a left
+token x that ends there, so a token or a tail of it, and its y may only come about because of what follows y:
+an earlier merge whose left token is a tail of y, and so on; ranks fall along such a chain. ``Merges`` finds the
+longest chain's bytes for each token from the merge list: the token's sufficient lookahead. Tokens that end a
+word need none. ``Transducer`` takes a text's bytes in pieces, words and parts of words alike, holds what is not
+yet stable and emits tokens once they are, that is, up to the last token with its lookahead's bytes behind it;
+what follows is tokenised as if it began there, since no merge crosses a stable end. So memory doesn't grow
+with a text or with a word. At a word's beginning nothing is held, so what a word gave before is remembered
+(a table bounded in bytes), as most words recur.
+
+The decoder takes ids and gives text by a byte-to-text state machine, in the form of a tokenizer file without a
+decoder (spellings joined by spaces) or readable (the bytes that the tokens stand for).
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,8 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-#: Characters of a text normalised at once, words remembered, and bytes of the longest word that is.
-CHUNK, MOST_WORDS, LONG_WORD = 1 << 16, 250_000, 256
-_NO_MERGE = (1 << 62, -1)
+#: Characters of a text normalised at once, symbols that are tried at a time, bytes of remembered words and their ids.
+CHUNK, STEP, MOST_BYTES = 1 << 16, 512, 48 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -56,89 +60,86 @@ class Merges:
         self.ranks = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merges)}
         self.size = {i: len(t.removesuffix(end)) if end else len(t) for t, i in vocab.items()}
         self.lookahead = self.sufficient_lookahead(merges, vocab)
+        self.longest = max(self.lookahead.values(), default=0)
 
-    def sufficient_lookahead(self, merges: Sequence[tuple[str, str]], vocab: dict[str, int]) -> int:
-        """Bytes of the longest chain of merges that can decide about one token boundary.
+    def sufficient_lookahead(self, merges: Sequence[tuple[str, str]], vocab: dict[str, int]) -> dict[int, int]:
+        """For each token, the bytes behind its end that can decide about that end; 0 for those not listed.
 
-        Merges are taken by rank. ``reach[x]`` is the longest chain, in bytes, that begins with an earlier
-        merge whose left token is x; a merge's chain goes on with one whose left token is a tail of its
-        right token, as that token was built.
+        Merges are taken by rank. ``reach[x]`` is the longest chain, in bytes behind x, that begins with an
+        earlier merge whose left token is x; a merge's chain goes on with one whose left token is a tail of its
+        right token, or that token, as it was built.
         """
-        tail: dict[int, int] = {}  # a token's right part in its own merge
+        tails: dict[int, set[int]] = {}  # a token and the right parts of the merges that give it and its tails
         reach: dict[int, int] = {}
-        longest = 0
         for a, b in merges:
-            u, v = vocab[a], vocab[b]
-            x: int | None = v
-            further = 0
-            while x is not None:
-                further = max(further, reach.get(x, 0))
-                x = tail.get(x)
-            chain = self.size[u] + self.size[v] + further
+            u, v, w = vocab[a], vocab[b], vocab[a + b]
+            of = tails.get(v) or {v}
+            chain = self.size[v] + max((reach[x] for x in of if x in reach), default=0)
             reach[u] = max(reach.get(u, 0), chain)
-            tail.setdefault(vocab[a + b], v)
-            longest = max(longest, chain)
-        return longest + max(self.size.values())
+            tails[w] = tails.get(w, {w}) | of
+        return {t: most for t in self.size if (most := max((reach.get(x, 0) for x in tails.get(t, (t,))), default=0))}
 
     def tokens(self, symbols: list[int]) -> list[int]:
         """Merge the pair of the lowest rank, the leftmost first, until none is left."""
-        get = self.ranks.get
-        near = [get(pair, _NO_MERGE) for pair in zip(symbols, symbols[1:])]
-        while near:
-            best = min(near)
-            if best is _NO_MERGE:
-                break
-            k = near.index(best)
-            symbols[k : k + 2] = [best[1]]
-            del near[k]  # only the neighbours' pairs change
-            if k:
-                near[k - 1] = get((symbols[k - 1], symbols[k]), _NO_MERGE)
-            if k < len(near):
-                near[k] = get((symbols[k], symbols[k + 1]), _NO_MERGE)
-        return symbols
-
-    def word(self, raw: bytes) -> list[int]:
-        """Tokens of a whole word."""
-        if len(raw) > LONG_WORD:
-            stream = WordStream(self)
-            return [*stream.feed(raw), *stream.finish()]
-        inner = self.inner
-        symbols = [inner[b] for b in raw]
-        symbols[-1] = self.final[raw[-1]]
-        return self.tokens(symbols)
-
-
-class WordStream:
-    """One word in pieces: ``feed`` returns the tokens that no later byte can change, ``finish`` the rest."""
+        get, n = self.ranks.get, len(symbols)
+        heap = [(r[0], k, r[1]) for k, r in enumerate(map(get, zip(symbols, symbols[1:]))) if r]
+        if not heap:
+            return symbols
+        heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        own = symbols + [-1]  # a symbol that went is -1
+        while heap:
+            rank, k, token = heappop(heap)
+            j = after[k]
+            pair = get((own[k], own[j])) if j < n and own[k] >= 0 else None
+            if pair is None or pair[0] != rank:
+                continue  # one of the two has gone into another token
+            own[k], own[j] = token, -1
+            j = after[k] = after[j]
+            if j < n:
+                before[j] = k
+                if pair := get((token, own[j])):
+                    heappush(heap, (pair[0], k, pair[1]))
+            if (i := before[k]) >= 0 and (pair := get((own[i], token))):
+                heappush(heap, (pair[0], i, pair[1]))
+        return [t for t in own if t >= 0]
+
+
+class Transducer:
+    """Bytes of words in, tokens out: those that no later byte can change."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.held = bytearray()
+        self.held: list[int] = []  # symbols after the last stable end, all of one word
 
-    def feed(self, raw: bytes) -> list[int]:
+    def feed(self, raw: bytes, ends: bool) -> list[int]:
+        """The tokens that are stable after these bytes of a word, whose last one ends it or not."""
         out: list[int] = []
-        m, step = self.merges, self.merges.lookahead
-        for at in range(0, len(raw), step):
-            self.held += raw[at : at + step]
-            if len(self.held) <= 2 * step:
-                continue
-            stable, done = len(self.held) - step, 0
-            for token in m.tokens([m.inner[b] for b in self.held]):
-                if done + m.size[token] > stable:
-                    break
-                out.append(token)
-                done += m.size[token]
-            del self.held[:done]
+        inner, last = self.merges.inner, len(raw) - 1
+        for at in range(0, len(raw), STEP):
+            self.held += [inner[b] for b in raw[at : at + STEP]]
+            if ends and at + STEP > last:
+                self.held[-1] = self.merges.final[raw[last]]
+            out += self._stable()
         return out
 
     def finish(self) -> list[int]:
-        if not self.held:
-            return []
+        """The rest of a text, in which no word's end is open."""
+        if self.held:
+            raise ValueError("a text ends inside a word")
+        return []
+
+    def _stable(self) -> list[int]:
         m = self.merges
-        symbols = [m.inner[b] for b in self.held]
-        symbols[-1] = m.final[self.held[-1]]
-        self.held.clear()
-        return m.tokens(symbols)
+        found = m.tokens(self.held.copy())
+        behind, stable = 0, len(found)
+        for token in reversed(found):  # to the last token with enough bytes behind it
+            if m.lookahead.get(token, 0) <= behind:
+                break
+            behind += m.size[token]
+            stable -= 1
+        self.held = self.held[len(self.held) - behind :] if behind else []
+        return found[:stable]
 
 
 class ByteToText:
@@ -155,21 +156,51 @@ class ByteToText:
 
 
 class _Words(dict):
-    """word -> packed ids; fills ``spelled`` (word -> spellings joined by spaces) beside itself."""
+    """What the transducer gave for a word when it held nothing: word -> packed ids. Its bytes are bounded."""
 
-    def __init__(self, merges: Merges):
+    def __init__(self, transducer: Transducer):
         super().__init__()
-        self.merges = merges
-        self.spelled: dict[str, bytes] = {}
+        self.transducer = transducer
+        self.held = 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.merges.word(word.encode("utf-8", "surrogatepass"))
-        spelling = self.merges.spelling
-        self.spelled[word] = " ".join([spelling[i] for i in ids]).encode()
-        packed = self[word] = np.array(ids, "<u4").tobytes()
+        raw = word.encode("utf-8", "surrogatepass")
+        packed = np.array(self.transducer.feed(raw, True), "<u4").tobytes()
+        if self.held + 200 + len(raw) + len(packed) > MOST_BYTES:
+            self.clear()
+            self.held = 0
+        self[word] = packed
+        self.held += 200 + len(raw) + len(packed)
         return packed
 
 
+class Decoder:
+    """Ids in, text out, piece by piece.
+
+    Spelled, it is the library's decoding where a tokenizer file names no decoder: spellings joined by spaces. Else
+    it is the bytes that the tokens stand for, with a space for each word end.
+    """
+
+    def __init__(self, tok: Tokenizer, spelled: bool):
+        self._of = (tok.spellings if spelled else tok.bytes_of).__getitem__
+        self._between = b" " if spelled else b""
+        self._begun = False
+        self._machine = ByteToText()
+
+    def feed(self, packed: bytes) -> str:
+        """The text of these ids, as far as its characters are whole."""
+        if not packed:
+            return ""
+        raw = self._between.join(map(self._of, np.frombuffer(packed, "<u4").tolist()))
+        if self._begun:
+            raw = self._between + raw
+        self._begun = True
+        return self._machine.feed(raw)
+
+    def finish(self) -> str:
+        return self._machine.finish()
+
+
 class Tokenizer:
     """The text side: added tokens, normaliser (NFC, runs of white space, lower case), splitter."""
 
@@ -186,26 +217,31 @@ class Tokenizer:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.added.items():
             self.merges.spelling[i] = content
+        of = {c: bytes((k,)) for k, c in enumerate(byte_symbols())}
+        self.spellings = {i: t.encode() for i, t in self.merges.spelling.items()}
+        self.bytes_of = {i: t.encode() if t in self.added else b"".join([of[c] for c in t.removesuffix(end)]) + (b" " if t.endswith(end) else b"") for i, t in self.merges.spelling.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         import regex
 
         # fixed values: the splitter's pattern of this tokenizer
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.words = _Words(self.merges)
+        self.transducer = Transducer(self.merges)
+        self.words = _Words(self.transducer)
         self._library = None
 
     def _is_new(self, text: str) -> bool:
         """Has a character that this Python's Unicode tables don't know: other tables may."""
         return not text.isascii() and any(c > "\u04ff" and unicodedata.category(c) == "Cn" for c in set(text))
 
-    def _library_ids(self, text: str) -> list[int]:
+    def _library_words(self, section: str) -> list[bytes]:
+        """The words of a text with such characters, by the library's normaliser and splitter."""
         if self._library is None:
             from tokenizers import Tokenizer as Library
 
             self._library = Library.from_file(self.path)
-            self._library.no_truncation()
-            self._library.no_padding()
-        return self._library.encode(text, add_special_tokens=False).ids
+        byte = {c: k for k, c in enumerate(byte_symbols())}
+        split = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(section))
+        return [bytes([byte[c] for c in word]) for word, _ in split]
 
     @staticmethod
     def _cut(text: str, low: int, high: int) -> tuple[int, bool]:
@@ -244,63 +280,42 @@ class Tokenizer:
                 piece = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3")
             yield piece.lower(), inside
 
-    def encode(self, text: str, size: int = CHUNK) -> Iterator[tuple[bytes, bytes]]:
-        """(packed ids, their spellings joined by spaces) piece by piece; a piece has one token at least."""
-        if self._is_new(text):
-            ids = self._library_ids(text)
-            if ids:
-                yield np.array(ids, "<u4").tobytes(), self.spell(ids)
-            return
+    def encode(self, text: str, size: int = CHUNK) -> Iterator[bytes]:
+        """Packed ids, piece by piece; all but those of added tokens leave by the transducer."""
+        library = self._is_new(text)
         sections = self.specials.split(text) if self.specials and "<|" in text else (text,)
-        words = self.words
+        words, feed = self.words, self.transducer.feed
+
+        def pack(ids: list[int]) -> bytes:
+            return np.array(ids, "<u4").tobytes()
+
         for section in sections:
             if section in self.added:
-                yield self.added[section].to_bytes(4, "little"), section.encode()
+                yield self.added[section].to_bytes(4, "little")
+                continue
+            if library:
+                yield from (pack(feed(raw, True)) for raw in self._library_words(section))
                 continue
-            stream: WordStream | None = None
+            carried = False  # the last piece ended inside a word, whose bytes are in the transducer
             for piece, inside in self.chunks(section, size):
                 found = self.split(piece)
-                if stream is not None:  # the run that the last piece ended in goes on here
-                    if found:
-                        ids = stream.feed(found.pop(0).encode("utf-8", "surrogatepass"))
-                        if found or not inside:
-                            ids, stream = ids + stream.finish(), None
-                        if ids:
-                            yield np.array(ids, "<u4").tobytes(), self.spell(ids)
+                if carried and found:
+                    carried = inside and len(found) == 1
+                    yield pack(feed(found.pop(0).encode("utf-8", "surrogatepass"), not carried))
                 opened = found.pop() if inside and found else None
-                if found:
-                    packed = b"".join(map(words.__getitem__, found))
-                    yield packed, b" ".join(map(words.spelled.__getitem__, found))
-                    if len(words) > MOST_WORDS:
-                        words.clear()
-                        words.spelled.clear()
+                yield b"".join(map(words.__getitem__, found))
                 if opened is not None:
-                    stream = WordStream(self.merges)
-                    ids = stream.feed(opened.encode("utf-8", "surrogatepass"))
-                    if ids:
-                        yield np.array(ids, "<u4").tobytes(), self.spell(ids)
-            if stream is not None and (ids := stream.finish()):
-                yield np.array(ids, "<u4").tobytes(), self.spell(ids)
-
-    def spell(self, ids: Sequence[int]) -> bytes:
-        """The library's own decoding where a tokenizer file names no decoder: spellings joined by spaces."""
-        return " ".join([self.merges.spelling[i] for i in ids]).encode()
+                    carried = True
+                    yield pack(feed(opened.encode("utf-8", "surrogatepass"), False))
+        self.transducer.finish()
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([i for i, _ in self.encode(text)]), "<u4")
-
-    def text(self, ids: Sequence[int]) -> str:
-        """Readable text: bytes of the tokens, a space for each word end, through the byte-to-text machine."""
-        machine, of, out = ByteToText(), {s: b for b, s in enumerate(byte_symbols())}, []
-        special = set(self.added.values())
-        for i in ids:
-            spelling = self.merges.spelling[int(i)]
-            if int(i) in special:
-                out.append(machine.feed(spelling.encode()))
-                continue
-            word = spelling.removesuffix(self.merges.end)
-            out.append(machine.feed(bytes([of[c] for c in word]) + (b" " if word != spelling else b"")))
-        return "".join(out) + machine.finish()
+        return np.frombuffer(b"".join(self.encode(text)), "<u4")
+
+    def text(self, ids: Sequence[int], spelled: bool = False) -> str:
+        """Readable text of ids, or their spellings, by the decoder."""
+        decoder = Decoder(self, spelled)
+        return decoder.feed(np.asarray(ids, "<u4").tobytes()) + decoder.finish()
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -313,34 +328,41 @@ def tokenizer(path: str) -> Tokenizer:
     return _TOKENIZERS[path]
 
 
-def digest(tok: Tokenizer, text: str | None) -> tuple[int, str, str]:
-    """(tokens, sha256 of the ids, sha256 of the decoded text), with memory bounded in the text's length."""
-    n, ids_hash, text_hash, machine = 0, hashlib.sha256(), hashlib.sha256(), ByteToText()
-    for packed, spelled in tok.encode(text or ""):
+def digest(tok: Tokenizer, text: str | None) -> tuple[int, str, str, int]:
+    """(tokens, sha256 of the ids, sha256 of the ids' spelled text, characters of their readable text).
+
+    Ids are decoded as they leave the transducer, so memory is bounded in the text's length.
+    """
+    n, chars, ids_hash, text_hash = 0, 0, hashlib.sha256(), hashlib.sha256()
+    spelled, readable = Decoder(tok, True), Decoder(tok, False)
+    for packed in tok.encode(text or ""):
         ids_hash.update(packed)
-        text_hash.update(machine.feed(b" " + spelled if n else spelled).encode())
+        text_hash.update(spelled.feed(packed).encode())
+        chars += len(readable.feed(packed))
         n += len(packed) // 4
-    text_hash.update(machine.finish().encode())
-    return n, ids_hash.hexdigest(), text_hash.hexdigest()
+    text_hash.update(spelled.finish().encode())
+    return n, ids_hash.hexdigest(), text_hash.hexdigest(), chars + len(readable.finish())
 
 
 def token_digests(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_tokens, ids_sha256 and decoded_sha256 of every whole text (null: empty).
+    """``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and readable_chars of every whole text (null: empty).
 
-    Equal texts give equal values; repeated rows stay; an empty table gives no rows.
+    The last two are decoded from the ids. Equal texts give equal values; repeated rows stay; an empty table
+    gives no rows; columns kept must not have such names.
     """
     small_batches(docs.sparkSession)
     src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "readable_chars": "long"}
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
         for batch in batches:
-            rows = [digest(tok, t) for t in batch.column("__text").to_pylist()]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string())))], names=[*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = list(zip(*(digest(tok, t) for t in batch.column("__text").to_pylist()))) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, types))], names=[*batch.schema.names[:-1], *added])
 
-    return src.mapInArrow(work, f"{fields}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(work, fields + ", ".join(f"{c} {t}" for c, t in added.items()))
 
 
 def token_column(docs: DataFrame, vocabulary: str, text_col: str = "text", decode: bool = False) -> DataFrame:
@@ -357,8 +379,10 @@ def token_column(docs: DataFrame, vocabulary: str, text_col: str = "text", decod
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
         for batch in batches:
-            ids = [tok.ids(t or "").astype(np.int32) for t in batch.column(text_col).to_pylist()]
-            cols = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
+            ids = [tok.ids(t or "") for t in batch.column(text_col).to_pylist()]
+            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+            values = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
+            cols = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
             if decode:
                 cols.append(pa.array([tok.text(i) for i in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *added])
