@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pieces of a concatenation's row that leave a task at once.
+_PIECES = 4096
+
 
 def charsets(aln: DataFrame) -> DataFrame:
     """(name, start, stop, ord): each locus's half-open range in the concatenation, loci in name order.
@@ -24,31 +28,42 @@ def concat_matrix(aln: DataFrame, missing: str = "?") -> DataFrame:
 
     Taxa are in the order in which loci, by name, first have them. Of a taxon's repeated rows in a locus the
     first counts. Gaps between a taxon's pieces are filled from the running offsets, so absent loci need no rows.
+    The taxa are numbered by names and places alone; sequences only meet their taxon's.
     """
     sets = charsets(aln)
     whole = sets.agg(F.max("stop").alias("whole"))
     once = aln.groupBy("locus", "taxon").agg(F.min_by("seq", "row_ord").alias("seq"), F.min("row_ord").alias("row_ord"))
     placed = once.join(sets.withColumnRenamed("name", "locus"), "locus")
-    pieces = placed.groupBy("taxon").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "seq"))).alias("pieces"), F.min(F.struct("ord", "row_ord")).alias("first"))
-    filled = F.aggregate(
-        "pieces",
-        F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["parts"], F.array(F.repeat(F.lit(missing), (x["start"] - acc["at"]).cast("int")), x["seq"])).alias("parts"), x["stop"].alias("at")),
-    )
-    done = pieces.join(F.broadcast(whole), F.lit(True)).withColumn("f", filled)  # one row
-    seq = F.concat(F.array_join("f.parts", ""), F.repeat(F.lit(missing), (F.col("whole") - F.col("f.at")).cast("int")))
-    return done.select("taxon", (F.row_number().over(Window.orderBy("first.ord", "first.row_ord", "taxon")) - 1).cast("int").alias("ord"), seq.alias("seq"))
+    pieces = placed.groupBy("taxon").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "seq"))).alias("pieces"))
+    firsts = aln.select("locus", "taxon", "row_ord").join(sets.select(F.col("name").alias("locus"), F.col("ord").alias("at")), "locus").groupBy("taxon").agg(F.min(F.struct("at", "row_ord")).alias("first"))
+    order = firsts.select("taxon", (F.row_number().over(Window.orderBy("first", "taxon")) - 1).cast("int").alias("ord"))
+    lack = lambda to, k: F.repeat(F.lit(missing), (to - F.coalesce(F.get("pieces", k)["stop"], F.lit(0))).cast("int"))
+    filled = F.array_join(F.transform("pieces", lambda x, k: F.concat(lack(x["start"], k - 1), x["seq"])), "")
+    done = pieces.join(F.broadcast(whole), F.lit(True))  # one row
+    return done.select("taxon", F.concat(filled, lack(F.col("whole"), F.size("pieces") - 1)).alias("seq")).join(order, "taxon").select("taxon", "ord", "seq")
 
 
 def split_concat(matrix: DataFrame, sets: DataFrame) -> DataFrame:
     """(locus, taxon, seq): each charset's columns of each row; rows with nothing but gaps or missing data go.
 
-    Charsets travel as one array beside each row, so a row is cut in place.
+    Charsets travel as one array beside each row, and a row is cut by offsets, so the work is that of its length;
+    pieces leave in batches of ``_PIECES`` whatever the number of loci.
     """
     listed = sets.agg(F.array_sort(F.collect_list(F.struct("ord", "name", "start", "stop"))).alias("sets"))
-    each = matrix.join(F.broadcast(listed), F.lit(True)).select("taxon", "seq", F.explode("sets").alias("s"))
-    cut = each.select(F.col("s.name").alias("locus"), "taxon", F.substring(F.col("seq"), (F.col("s.start") + 1).cast("int"), (F.col("s.stop") - F.col("s.start")).cast("int")).alias("seq"))
-    return cut.where("length(translate(seq, '-?', '')) > 0")
+    rows = matrix.select("taxon", "seq").join(F.broadcast(listed), F.lit(True))  # one row
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds: list[tuple[str, int, int]] | None = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if bounds is None:  # the same array beside all rows
+                    bounds = [(x["name"], x["start"], x["stop"]) for x in batch.column("sets")[k].as_py() or ()]
+                taxon, seq = batch.column("taxon")[k].as_py(), batch.column("seq")[k].as_py() or ""
+                for at in range(0, len(bounds), _PIECES):
+                    kept = [(name, piece) for name, a, b in bounds[at : at + _PIECES] if (piece := seq[a:b]).strip("-?")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([n for n, _ in kept], [taxon] * len(kept), [s for _, s in kept])], names=["locus", "taxon", "seq"])
+
+    return rows.mapInArrow(cut, "locus string, taxon string, seq string")
 
 
 def partition_slices(matrix: DataFrame, partitions: Sequence[tuple[str, Sequence[tuple[int, int]]]]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -44,16 +44,34 @@ def filter_bed_by_loci(bed: DataFrame, loci: DataFrame) -> DataFrame:
     return bed.withColumn("locus", F.split_part("name", F.lit("_"), F.lit(1))).join(loci.select("locus").distinct(), "locus", "left_semi").drop("locus")
 
 
+#: Bases of a chromosome that are worked on at a time, and islands that are folded together.
+STRETCH, ISLANDS = 1_000_000, 1024
+
+
+def islands(intervals: DataFrame, distance: int, ties: Sequence[str] = ()) -> DataFrame:
+    """``intervals`` with ``island``, from 1 on each chromosome: one begins more than ``distance`` after all ends before it.
+
+    A chromosome is worked on in stretches of ``STRETCH`` bases, as it may hold a third of all rows: what a
+    stretch needs of those before it is their largest end and their number of islands, a row a stretch.
+    """
+    stretch = ["chromo", "stretch"]
+    before = Window.partitionBy("chromo").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*stretch).orderBy("start", "end", *ties)
+    placed = intervals.withColumn("stretch", F.floor(F.col("start") / STRETCH).cast("long"))
+    carried = placed.groupBy(*stretch).agg(F.max("end").alias("top")).select(*stretch, F.max("top").over(before).alias("carried"))
+    reach = F.greatest(F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
+    marked = placed.join(carried, stretch).withColumn("new", F.when(reach.isNull() | (F.col("start") > reach + distance), 1).otherwise(0))
+    counts = marked.groupBy(*stretch).agg(F.sum("new").alias("n")).select(*stretch, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("passed"))
+    number = F.col("passed") + F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.join(counts, stretch).withColumn("island", number).drop("stretch", "carried", "new", "passed")
+
+
 def proximity_clusters(positions: DataFrame, distance: int = 10_000) -> DataFrame:
     """(chromo, cluster, n, start, end, loci): groups of intervals that begin within ``distance`` of all before them.
 
-    Islands by a running maximum of ends; a cluster needs two intervals at least, and ``loci`` are sorted.
+    A cluster needs two intervals at least, and ``loci`` are sorted.
     """
-    order = Window.partitionBy("chromo").orderBy("start", "end", "locus")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("end").over(before)
-    marked = positions.distinct().withColumn("new", F.when(reach.isNull() | (F.col("start") > reach + distance), 1).otherwise(0))
-    numbered = marked.withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    numbered = islands(positions.distinct(), distance, ("locus",)).withColumnRenamed("island", "cluster")
     grouped = numbered.groupBy("chromo", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_set("locus")).alias("loci"))
     return grouped.where("n > 1")
 
@@ -86,14 +104,20 @@ def fold_intervals(rows: Iterable[tuple[int, int, str]]) -> list[tuple[int, int,
 
 
 def multi_merge(intervals: DataFrame) -> DataFrame:
-    """(chromo, start, end, taxa): the ordered fold of each chromosome; ``intervals`` has chromo, start, end, taxon, ord."""
+    """(chromo, start, end, taxa): the ordered fold of each chromosome; ``intervals`` has chromo, start, end, taxon, ord.
+
+    Only overlapping intervals meet, so a chromosome is split where none covers it, and each part is one group.
+    Within a part the fold depends on the order and can't be split: a part is as large as its coverage is unbroken.
+    """
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord", kind="stable")
         out = fold_intervals(zip(rows["start"], rows["end"], rows["taxon"]))
         return pd.DataFrame({"chromo": rows["chromo"].iloc[0], "start": [a for a, _, _ in out], "end": [b for _, b, _ in out], "taxa": [t for _, _, t in out]})
 
-    return intervals.select("chromo", "start", "end", "taxon", "ord").groupBy("chromo").applyInPandas(kernel, "chromo string, start long, end long, taxa array<string>")
+    parts = islands(intervals.select("chromo", "start", "end", "taxon", "ord"), -1, ("ord",))
+    some = parts.withColumn("part", F.floor(F.col("island") / ISLANDS))  # neighbours together: a group has its cost
+    return some.groupBy("chromo", "part").applyInPandas(kernel, "chromo string, start long, end long, taxa array<string>")
 
 
 def merged_presence(merged: DataFrame, taxa: list[str]) -> DataFrame:
@@ -143,11 +167,15 @@ def slice_plan(hits: DataFrame, pattern: str = PROBE_PATTERN, contig_orient: boo
     strand = F.col("strand1" if contig_orient else "strand2")
     named = hits.select(locus_name(F.col("name2"), pattern).alias("uce"), F.col("name1").alias("contig"), F.col("zstart1").alias("s"), F.col("end1").alias("e"), strand.alias("strand"))
     order = Window.partitionBy("uce", "contig").orderBy("s", "e")
-    spaced = named.withColumn("far", F.coalesce(F.col("s") - F.lag("e").over(order) > gap, F.lit(False)))
-    per = spaced.groupBy("uce").agg(
-        F.count_distinct("contig").alias("contigs"), F.min("contig").alias("contig"), F.min("s").alias("min"), F.max_by("e", F.struct("s", "e")).alias("max"), F.count_distinct("strand").alias("strands"), F.min("strand").alias("strand"), F.count(F.lit(1)).alias("probes"), F.bool_or("far").alias("far")
-    )
-    why = F.when(F.col("contigs") > 1, "duplicate").when(F.col("strands") > 1, "orientation").when(F.col("far"), "length")
+    spaced = named.withColumn("far", F.coalesce(F.col("s") - F.lag("e").over(order) > gap, F.lit(False))).withColumn("sign", F.ascii("strand"))
+    # a contig's hits first, which are together and in order already; then a locus's few contigs
+    last = F.struct("s", "e")
+    each = spaced.groupBy("uce", "contig").agg(F.min("s").alias("min"), F.max(last).alias("last"), F.min("sign").alias("low"), F.max("sign").alias("high"), F.count(F.lit(1)).alias("n"), F.bool_or("far").alias("far"))
+    per = each.groupBy("uce").agg(
+        F.count("contig").alias("contigs"), F.min("contig").alias("contig"), F.min("min").alias("min"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("probes"), F.bool_or("far").alias("far")
+    )
+    per = per.withColumn("max", F.col("last.e")).withColumn("strand", F.char(F.col("low").cast("long")))
+    why = F.when(F.col("contigs") > 1, "duplicate").when(F.col("low") < F.col("high"), "orientation").when(F.col("far"), "length")
     return per.select("uce", "contig", "min", "max", "strand", "probes", why.alias("dropped"))
 
 
@@ -172,15 +200,19 @@ def slice_sequences(bounds: DataFrame, contigs: DataFrame, width: int | None = N
     """Records (header, sequence) of the slices; ``contigs`` has (contig, sequence).
 
     With a flank, N at both ends and then lower-case bases go and the strand is only named; with a width the
-    sequence is turned on the minus strand, and slices shorter than the width go.
+    sequence is turned on the minus strand, and slices shorter than the width go. Loci are numbered, and short
+    slices found, from ``bounds`` alone, which has no sequences; only then do the slices meet their contigs, by a
+    shuffle, as contigs grow with the data.
     """
     from ..functions import reverse_complement_plain
 
-    start, end = F.greatest("slice_start", F.lit(0)), F.least("slice_end", F.length("sequence"))
-    cut = bounds.join(contigs, "contig").withColumn("raw", F.substring(F.col("sequence"), (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")))
-    number = F.row_number().over(Window.orderBy("uce")) - 1  # one short row a locus
+    start, end = F.greatest("slice_start", F.lit(0)), F.least("slice_end", "contig_length")
+    size = F.greatest(end - start, F.lit(0))
+    wide = bounds if width is None else bounds.where(size >= width)
+    numbered = wide.withColumn("k", F.row_number().over(Window.orderBy("uce")) - 1)  # one short row a locus
+    cut = numbered.join(contigs.hint("merge"), "contig").withColumn("raw", F.substring(F.col("sequence"), (start + 1).cast("int"), size.cast("int")))
     if width is not None:
-        kept = cut.where(F.length("raw") >= width).withColumn("k", number)
+        kept = cut
         turned = F.col("strand") != "+"
         orient = F.when(turned, "revcomp").otherwise(F.col("strand"))
         seq = F.when(turned, reverse_complement_plain(F.col("raw"))).otherwise(F.col("raw"))
@@ -191,7 +223,7 @@ def slice_sequences(bounds: DataFrame, contigs: DataFrame, width: int | None = N
         inner = F.rtrim(no_n, F.lit("Nn"))
         seq0 = F.btrim(inner, F.lit("acgt"))
         lead = lead_n + F.length(inner) - F.length(F.ltrim(inner, F.lit("acgt")))
-        kept = cut.withColumn("k", number).withColumn("seq0", seq0).withColumn("lead", lead)
+        kept = cut.withColumn("seq0", seq0).withColumn("lead", lead)
         orient, seq = F.col("strand"), F.col("seq0")
         a = F.col("slice_start") + F.col("lead")
         b = a + F.length("seq0")

@@ -9,16 +9,20 @@ from ..functions import contig_name, contig_name_lenient, locus_name
 from ..functions.names import PROBE_PATTERN
 
 
-def named_hits(hits: DataFrame, pattern: str = PROBE_PATTERN) -> DataFrame:
-    """Distinct (taxon, contig, locus, strand) of hits; ``fallback`` tells that the contig's header has no known form."""
-    named = hits.select(
+def all_named_hits(hits: DataFrame, pattern: str = PROBE_PATTERN) -> DataFrame:
+    """(taxon, contig, fallback, locus, strand) of every hit; ``fallback`` tells that the contig's header has no known form."""
+    return hits.select(
         "taxon",
         contig_name_lenient(F.col("name1")).alias("contig"),
         contig_name(F.col("name1")).isNull().alias("fallback"),
         locus_name(F.col("name2"), pattern).alias("locus"),
         F.col("strand2").alias("strand"),
     )
-    return named.distinct()
+
+
+def named_hits(hits: DataFrame, pattern: str = PROBE_PATTERN) -> DataFrame:
+    """Distinct (taxon, contig, fallback, locus, strand) of hits."""
+    return all_named_hits(hits, pattern).distinct()
 
 
 def without_probe_dupes(named: DataFrame, dupes: DataFrame | None) -> DataFrame:
@@ -37,15 +41,18 @@ def loci_of_several_contigs(named: DataFrame) -> DataFrame:
 
 
 def flagged_pairs(named: DataFrame) -> DataFrame:
-    """Distinct (taxon, contig, locus) with the smallest strand and both counts.
+    """Distinct (taxon, contig, locus) with the smallest strand, both counts, and whether it is the first of its locus and contig.
 
     A pair's contig is dropped if it hits several loci or any of its loci several contigs, so the counts
-    are taken by windows over the already distinct pairs: two shuffles in all, no self-join.
+    are taken by windows over the pairs: no self-join, and ``named`` need not be distinct. Strands are one
+    character, so their smallest is that of a number, by which Spark aggregates in hash tables.
     """
-    pairs = named.groupBy("taxon", "contig", "locus").agg(F.min("strand").alias("strand"))
+    pairs = named.groupBy("taxon", "contig", "locus").agg(F.min(F.ascii("strand")).alias("sign"))
+    pairs = pairs.select("taxon", "contig", "locus", F.char(F.col("sign").cast("long")).alias("strand"))
     by_locus = Window.partitionBy("taxon", "locus")
     by_contig = Window.partitionBy("taxon", "contig")
-    counted = pairs.withColumn("n_contigs", F.count(F.lit(1)).over(by_locus))
+    counted = pairs.withColumn("first_of_locus", F.row_number().over(by_locus.orderBy("contig")) == 1).withColumn("n_contigs", F.count(F.lit(1)).over(by_locus))
+    counted = counted.withColumn("first_of_contig", F.row_number().over(by_contig.orderBy("locus")) == 1)
     return counted.withColumn("n_loci", F.count(F.lit(1)).over(by_contig)).withColumn("shared", F.max("n_contigs").over(by_contig))
 
 
@@ -55,7 +62,7 @@ def match_map(hits: DataFrame, dupes: DataFrame | None = None, pattern: str = PR
     With hits on both strands the strand is the smaller sign, ``+``. ``keep_shared`` keeps contigs of loci
     that several contigs hit.
     """
-    pairs = flagged_pairs(without_probe_dupes(named_hits(hits, pattern), dupes))
+    pairs = flagged_pairs(without_probe_dupes(all_named_hits(hits, pattern), dupes))
     kept = pairs.where("n_loci = 1") if keep_shared else pairs.where("n_loci = 1 and shared = 1")
     return kept.select(F.col("locus").alias("uce"), "taxon", "contig", "strand")
 
@@ -63,29 +70,34 @@ def match_map(hits: DataFrame, dupes: DataFrame | None = None, pattern: str = PR
 def match_summary(hits: DataFrame, contigs: DataFrame, dupes: DataFrame | None = None, pattern: str = PROBE_PATTERN) -> DataFrame:
     """Per taxon: unique matches, contigs, loci dropped as probe duplicates or for several contigs, and contigs dropped for several loci.
 
-    ``contigs`` has (taxon, total_contigs).
+    ``contigs`` has (taxon, total_contigs). All counts are of one table of pairs.
     """
-    named = named_hits(hits, pattern)
-    clean = without_probe_dupes(named, dupes)
-    unique = match_map(hits, dupes, pattern).groupBy("taxon").agg(F.count(F.lit(1)).alias("unique_matches"))
-    dropped_loci = loci_of_several_contigs(clean).groupBy("taxon").agg(F.count(F.lit(1)).alias("loci_dropped"))
-    dropped_contigs = contigs_of_several_loci(clean).groupBy("taxon").agg(F.count(F.lit(1)).alias("contigs_dropped"))
-    out = contigs.join(unique, "taxon", "left").join(dropped_loci, "taxon", "left").join(dropped_contigs, "taxon", "left")
+    named = all_named_hits(hits, pattern)
+    one = lambda c: F.count(F.when(c, 1))
+    counts = flagged_pairs(without_probe_dupes(named, dupes)).groupBy("taxon").agg(
+        one((F.col("n_loci") == 1) & (F.col("shared") == 1)).alias("unique_matches"),
+        one(F.col("first_of_locus") & (F.col("n_contigs") > 1)).alias("loci_dropped"),
+        one(F.col("first_of_contig") & (F.col("n_loci") > 1)).alias("contigs_dropped"),
+    )
+    out = contigs.join(counts, "taxon", "left")
     if dupes is not None:
         probe = named.join(dupes.select("locus"), "locus", "left_semi").groupBy("taxon").agg(F.count_distinct("locus").alias("probe_dupes"))
         out = out.join(probe, "taxon", "left")
     else:
         out = out.withColumn("probe_dupes", F.lit(0).cast("long"))
-    counts = ("unique_matches", "probe_dupes", "loci_dropped", "contigs_dropped")
-    return out.fillna(0, list(counts)).select("taxon", "unique_matches", "total_contigs", "probe_dupes", "loci_dropped", "contigs_dropped")
+    return out.fillna(0, ["unique_matches", "probe_dupes", "loci_dropped", "contigs_dropped"]).select("taxon", "unique_matches", "total_contigs", "probe_dupes", "loci_dropped", "contigs_dropped")
 
 
 def duplicates_report(named: DataFrame) -> DataFrame:
-    """Per taxon and kind (contig or locus): each duplicated name with its partners, sorted and joined by commas."""
-    joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    contigs = named.groupBy("taxon", F.col("contig").alias("name")).agg(joined("locus").alias("partners"), F.count_distinct("locus").alias("n")).withColumn("kind", F.lit("contig"))
-    loci = named.groupBy("taxon", F.col("locus").alias("name")).agg(joined("contig").alias("partners"), F.count_distinct("contig").alias("n")).withColumn("kind", F.lit("locus"))
-    return contigs.unionByName(loci).where("n > 1").select("taxon", "kind", "name", "partners")
+    """Per taxon and kind (contig or locus): each duplicated name with its partners, sorted and joined by commas.
+
+    Only the pairs of duplicated names are gathered, both kinds together.
+    """
+    contig = F.when(F.col("n_loci") > 1, F.struct(F.lit("contig").alias("kind"), F.col("contig").alias("name"), F.col("locus").alias("partner")))
+    locus = F.when(F.col("n_contigs") > 1, F.struct(F.lit("locus").alias("kind"), F.col("locus").alias("name"), F.col("contig").alias("partner")))
+    listed = flagged_pairs(named).where("n_loci > 1 or n_contigs > 1").select("taxon", F.explode(F.array_compact(F.array(contig, locus))).alias("x"))
+    partners = F.array_join(F.sort_array(F.collect_set("x.partner")), ",").alias("partners")
+    return listed.groupBy("taxon", F.col("x.kind").alias("kind"), F.col("x.name").alias("name")).agg(partners).select("taxon", "kind", "name", "partners")
 
 
 def probe_self_dupes(self_hits: DataFrame, pattern: str = PROBE_PATTERN) -> DataFrame:

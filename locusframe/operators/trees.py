@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 _TOKEN = re.compile(r"\s*(?:(\[[^\]]*\])|('(?:[^']|'')*')|([(),:;])|([^\s(),:;'\[\]]+))")
 _PLAIN = re.compile(r"[^\s()\[\]{},:;='\"]+\Z")
 
@@ -22,8 +25,8 @@ class Node:
 
 
 def _tokens(text: str) -> Iterator[tuple[str, str]]:
-    at = 0
-    while at < len(text) and text[at:].strip():
+    at, end = 0, len(text.rstrip())
+    while at < end:
         m = _TOKEN.match(text, at)
         if not m:
             raise ValueError(f"bad Newick text at {at}")
@@ -38,22 +41,45 @@ def _tokens(text: str) -> Iterator[tuple[str, str]]:
 
 
 def _node(tokens: list[tuple[str, str]], at: int) -> tuple[Node, int]:
-    children: list[Node] = []
-    if tokens[at][0] == "(":
+    """The tree that begins at a token, and the place after it; open brackets are on a stack, however deep."""
+    opened: list[list[Node]] = []
+    while True:
+        while tokens[at][0] == "(":
+            opened.append([])
+            at += 1
+        children: tuple[Node, ...] = ()
         while True:
-            child, at = _node(tokens, at + 1)
-            children.append(child)
-            if tokens[at][0] == ")":
-                at += 1
+            label = length = None
+            if tokens[at][0] == "label":
+                label, at = tokens[at][1], at + 1
+            if tokens[at][0] == ":":
+                length, at = float(tokens[at + 1][1]), at + 2
+            node = Node(label, length, children)
+            if not opened:
+                return node, at
+            opened[-1].append(node)
+            if tokens[at][0] != ")":
                 break
-            if tokens[at][0] != ",":
-                raise ValueError("expected , or ) in Newick text")
-    label = length = None
-    if tokens[at][0] == "label":
-        label, at = tokens[at][1], at + 1
-    if tokens[at][0] == ":":
-        length, at = float(tokens[at + 1][1]), at + 2
-    return Node(label, length, tuple(children)), at
+            children = tuple(opened.pop())
+            at += 1
+        if tokens[at][0] != ",":
+            raise ValueError("expected , or ) in Newick text")
+        at += 1
+
+
+def fold(node: Node, f: Callable[[Node, list[T]], T]) -> T:
+    """``f`` of each node and of what it gave for the node's children, from the leaves up, without recursion."""
+    done: list[T] = []
+    todo: list[tuple[Node, bool]] = [(node, False)]
+    while todo:
+        n, ready = todo.pop()
+        if not ready and n.children:
+            todo.append((n, True))
+            todo += [(c, False) for c in reversed(n.children)]
+            continue
+        k = len(done) - len(n.children)
+        done[k:] = [f(n, done[k:])]
+    return done[0]
 
 
 def parse_trees(text: str) -> list[Node]:
@@ -80,50 +106,59 @@ def _number(x: float) -> str:
 
 
 def write_tree(node: Node, lengths: bool = True) -> str:
-    def text(n: Node) -> str:
-        out = f"({','.join(map(text, n.children))})" if n.children else ""
+    def text(n: Node, inner: list[str]) -> str:
+        out = f"({','.join(inner)})" if inner else ""
         if n.label is not None:
             out += n.label if _PLAIN.match(n.label) else "'" + n.label.replace("'", "''") + "'"
         if lengths and n.length is not None:
             out += ":" + _number(n.length)
         return out
 
-    return text(node) + ";"
+    return fold(node, text) + ";"
 
 
 def leaves(node: Node) -> frozenset[str]:
-    if not node.children:
-        return frozenset((node.label or "",))
-    return frozenset().union(*map(leaves, node.children))
+    found, todo = set(), [node]
+    while todo:
+        n = todo.pop()
+        todo += n.children
+        if not n.children:
+            found.add(n.label or "")
+    return frozenset(found)
 
 
 def strip_lengths(node: Node) -> Node:
-    return replace(node, length=None, children=tuple(map(strip_lengths, node.children)))
+    return fold(node, lambda n, children: replace(n, length=None, children=tuple(children)))
 
 
 def rename(node: Node, names: dict[str, str]) -> Node:
-    if not node.children:
-        return replace(node, label=names.get(node.label or "", node.label))
-    return replace(node, children=tuple(rename(c, names) for c in node.children))
+    return fold(node, lambda n, children: replace(n, children=tuple(children)) if children else replace(n, label=names.get(n.label or "", n.label)))
 
 
 def _path_to(node: Node, leaf: str) -> list[int] | None:
-    if any(not c.children and c.label == leaf for c in node.children):
-        return []
-    for k, c in enumerate(node.children):
-        if (rest := _path_to(c, leaf)) is not None:
-            return [k, *rest]
+    """The way to the leaf's parent: the first in the order of a walk that looks at a node's own leaves first."""
+    path: list[int] = []
+    todo: list[tuple[Node, int, int]] = [(node, 0, -1)]
+    while todo:
+        n, depth, k = todo.pop()
+        path[max(depth - 1, 0) :] = [k] if depth else []
+        if any(not c.children and c.label == leaf for c in n.children):
+            return path
+        todo += [(c, depth + 1, k) for k, c in reversed(list(enumerate(n.children)))]
     return None
 
 
 def _squeeze(node: Node) -> Node:
     """Without nodes of one child; lengths add up."""
-    children = tuple(map(_squeeze, node.children))
-    if len(children) != 1:
-        return replace(node, children=children)
-    (only,) = children
-    known = [x for x in (only.length, node.length) if x is not None]
-    return replace(only, length=sum(known) if known else None)
+
+    def one(n: Node, children: list[Node]) -> Node:
+        if len(children) != 1:
+            return replace(n, children=tuple(children))
+        (only,) = children
+        known = [x for x in (only.length, n.length) if x is not None]
+        return replace(only, length=sum(known) if known else None)
+
+    return fold(node, one)
 
 
 def reroot(node: Node, leaf: str) -> Node:
@@ -146,16 +181,16 @@ def bipartitions(node: Node, outgroup: str) -> set[tuple[str, ...]]:
     """Each inner node's side without the outgroup, sorted, if it has more than one leaf and not all."""
     every, out = leaves(node), set()
 
-    def walk(n: Node) -> None:
-        if n.children:
-            side = leaves(n)
-            kept = every - side if outgroup in side else side
-            if 1 < len(kept) < len(every):
-                out.add(tuple(sorted(kept)))
-            for c in n.children:
-                walk(c)
+    def side(n: Node, inner: list[frozenset[str]]) -> frozenset[str]:
+        if not n.children:
+            return frozenset((n.label or "",))
+        own = frozenset().union(*inner)
+        kept = every - own if outgroup in own else own
+        if 1 < len(kept) < len(every):
+            out.add(tuple(sorted(kept)))
+        return own
 
-    walk(node)
+    fold(node, side)
     return out
 
 

@@ -172,13 +172,17 @@ def _genome(p: Proxy) -> DataFrame:
     return p.hits.select(F.col("name1").alias("contig")).distinct().withColumn("sequence", seq("contig"))
 
 
+def _lengths(p: Proxy) -> DataFrame:
+    """The length of each, as an index of a genome has it."""
+    return p.hits.select(F.col("name1").alias("contig")).distinct().withColumn("contig_length", F.lit(60 * 32))
+
+
 _BOUNDS = """, kept AS (SELECT * FROM plan WHERE dropped IS NULL)"""
 
 
 @query("hits", sql=f"""WITH {_PLAN}{_BOUNDS} SELECT uce, contig, "min", "max", strand, probes, CAST(1920 AS INT) AS contig_length, greatest("min" - 50, 0) AS slice_start, least("max" + 50, 1920) AS slice_end FROM kept""")
 def slice_bounds_flank(p: Proxy) -> DataFrame:
-    lengths = _genome(p).select("contig", F.length("sequence").alias("contig_length"))
-    return intervals.slice_bounds(intervals.slice_plan(p.hits, gap=150), lengths, flank=50)
+    return intervals.slice_bounds(intervals.slice_plan(p.hits, gap=150), _lengths(p), flank=50)
 
 
 _W = """, half AS (SELECT *, CASE WHEN 401 - abs("max" - "min") > 0 THEN (401 - abs("max" - "min") + 1) // 2 ELSE 0 END AS h FROM kept),
@@ -188,9 +192,8 @@ raw AS (SELECT *, substr(translate(repeat(md5(contig), 60), '0123456789abcdef',
 
 @query("hits", sql=f"""WITH {_PLAN}{_BOUNDS}{_W} SELECT uce, CASE WHEN strand = '+' THEN raw ELSE reverse(translate(raw, 'ACGTacgt', 'TGCAtgca')) END AS sequence FROM raw WHERE length(raw) >= 401""")
 def slice_sequences(p: Proxy) -> DataFrame:
-    genome = _genome(p)
-    bounds = intervals.slice_bounds(intervals.slice_plan(p.hits, gap=150), genome.select("contig", F.length("sequence").alias("contig_length")), width=401)
-    return intervals.slice_sequences(bounds, genome, width=401).select("uce", "sequence")
+    bounds = intervals.slice_bounds(intervals.slice_plan(p.hits, gap=150), _lengths(p), width=401)
+    return intervals.slice_sequences(bounds, _genome(p), width=401).select("uce", "sequence")
 
 
 _FLANK = """, raw AS (SELECT uce, contig, "min", "max", strand, probes, greatest("min" - 50, 0) AS ss,
@@ -204,6 +207,5 @@ cut AS (SELECT *, trim(inside, 'acgt') AS seq, ss + lead_n + length(inside) - le
     sql=f"""WITH {_PLAN}{_BOUNDS}{_FLANK} SELECT uce, 'Node_' || k || '_length_' || length(seq) || '_cov_1000|contig:' || contig || '|slice:' || a || '-' || (a + length(seq)) || '|uce:' || uce || '|match:' || "min" || '-' || "max" || '|orient:' || strand || '|probes:' || probes AS header, seq AS sequence FROM cut""",
 )
 def slice_records_flank(p: Proxy) -> DataFrame:
-    genome = _genome(p)
-    bounds = intervals.slice_bounds(intervals.slice_plan(p.hits, gap=150), genome.select("contig", F.length("sequence").alias("contig_length")), flank=50)
-    return intervals.slice_sequences(bounds, genome)
+    bounds = intervals.slice_bounds(intervals.slice_plan(p.hits, gap=150), _lengths(p), flank=50)
+    return intervals.slice_sequences(bounds, _genome(p))

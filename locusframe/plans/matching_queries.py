@@ -59,7 +59,7 @@ def match_map(p: Proxy) -> DataFrame:
 )
 def match_summary(p: Proxy) -> DataFrame:
     hits = p.hits
-    totals = matching.named_hits(hits).groupBy("taxon").agg(F.count_distinct("contig").alias("total_contigs"))
+    totals = matching.all_named_hits(hits).groupBy("taxon").agg(F.count_distinct("contig").alias("total_contigs"))
     return matching.match_summary(hits, totals)
 
 
@@ -80,7 +80,7 @@ def loci_multi_contig(p: Proxy) -> DataFrame:
     UNION ALL SELECT taxon, 'locus', locus, string_agg(DISTINCT contig, ',' ORDER BY contig) FROM named GROUP BY taxon, locus HAVING count(DISTINCT contig) > 1""",
 )
 def duplicates_report(p: Proxy) -> DataFrame:
-    return matching.duplicates_report(matching.named_hits(p.hits))
+    return matching.duplicates_report(matching.all_named_hits(p.hits))
 
 
 _DUPES = """
@@ -261,6 +261,7 @@ def extended_matches(p: Proxy) -> DataFrame:
 def barcode_slices(p: Proxy) -> DataFrame:
     from pyspark.sql import Window
 
-    named = p.contigs.select(F.concat(F.lit("NODE_"), F.row_number().over(Window.orderBy("taxon", "contig"))).alias("id"), "sequence")
+    numbers = p.contigs.select("taxon", "contig", F.concat(F.lit("NODE_"), F.row_number().over(Window.orderBy("taxon", "contig"))).alias("id"))  # names only
+    named = p.contigs.join(numbers, ["taxon", "contig"]).select("id", "sequence")
     hits = p.hits.select(F.split_part("name1", F.lit("_length"), F.lit(1)).alias("name1"), "name2", "strand2", (F.col("zstart1") % 40).alias("zstart1"), (F.col("zstart1") % 40 + 20).alias("end1"))
     return matching.slice_barcodes(hits, named)

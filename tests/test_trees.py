@@ -55,3 +55,20 @@ def test_support_and_bootstraps(spark):
     assert sum(r.n for r in counts) == 100
     renamed = T.rename_leaves(spark.createDataFrame([("1", "(a_x:1,b);")], "tree_id string, newick string"), {"a-x": "Alpha beta"}).first()
     assert renamed.newick == "('Alpha beta':1,b);"
+
+
+def test_deep_trees():
+    """A caterpillar of more levels than Python's recursion allows."""
+    n = 5000
+    text = "(" * n + "a" + "".join(f",b{k}:1)" for k in range(n)) + ";"
+    tree = T.parse_tree(text)
+    assert T.write_tree(tree) == text and len(T.leaves(tree)) == n + 1
+    assert T.write_tree(T.rename(T.strip_lengths(tree), {"a": "c"})).startswith("(" * n + "c,b0)")
+    small = T.parse_tree("(" * 1500 + "a" + "".join(f",b{k})" for k in range(1500)) + ";")
+    turned = T.reroot(small, "a")
+    assert T.leaves(turned) == T.leaves(small) and {"a", "b0"} <= {c.label for c in turned.children}
+
+
+def test_own_leaves_come_first():
+    tree = T.parse_tree("((x,(y,z)p)q,(y,w)r)s;")
+    assert T._path_to(tree, "z") == [0, 1] and T._path_to(tree, "w") == [1] and T._path_to(tree, "s") is None
