@@ -7,15 +7,17 @@ they travel together as one short block of text.
 
 1. Minimisers that only one document has can't stand for a repeat; the others are found first, by hashes
    pre-aggregated over many documents, and only their blocks travel on.
-2. Equal blocks are one, owned by the smallest identifier; in the others every byte is a repeat.
-3. In a bucket the suffixes of its blocks are sorted: ranks of a difference-cover sample (positions whose
+2. Equal blocks are sorted once, for their smallest identifier (``compress``; without it each is sorted on its own,
+   and nothing else changes).
+3. In a bucket the suffixes of all its blocks are sorted: ranks of a difference-cover sample (positions whose
    residue mod ``PERIOD`` is in the cover) come first, by prefix doubling over the sample alone; then one
    block of suffixes after the other is sorted by its first bytes, and ties by sample ranks: for any two
    positions some shift below ``PERIOD`` takes both into the sample, and the ranks there decide. Runs of
-   neighbours with a common prefix of ``LENGTH`` bytes are the repeats.
+   neighbours with a common prefix of ``LENGTH`` bytes have a smallest identifier, and a start of a document
+   with a larger one is a repeat.
 
 Hot passages are pre-aggregated at both exchanges: many documents' rows give one entry for each distinct
-hash or block, and those that are decided already pass by the sort.
+hash or block, and those that are decided already go to any bucket, not to the hot one.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ GRAM = 26
 PERIOD, COVER = 7, (0, 1, 3)
 #: Suffixes sorted at a time, and bytes of text whose entries are aggregated before they leave a task.
 BLOCK, GATHER = 1 << 18, 12 << 20
-#: MB of a plan's estimated size for each bucket.
-BUCKET_MB = 8.0
+#: MB of a plan's estimated size for each bucket, and for each task, which sorts one bucket after the other.
+BUCKET_MB, TASK_MB = 4.0, 16.0
 LEAST_BUCKETS = 64
 _PIECE = 1 << 20
 _NULL_ID = (1 << 63) - 1
@@ -152,8 +154,11 @@ def same_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) ->
     return out
 
 
-def repeated_spans(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, begin, end) of the bytes that strings of ``length`` cover which also start in a text of a smaller owner."""
+def least_owners(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each text's first byte, least): for each start of a string of ``length``, the smallest owner of a text with that string.
+
+    Other places have an owner larger than all. The sorted suffixes alone decide.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes + 8) - (sizes + 8)
     data = np.frombuffer(b"".join([t + b"\0" * 8 for t in texts]) + b"\0" * 8, np.uint8)
@@ -164,18 +169,31 @@ def repeated_spans(texts: list[bytes], owners: np.ndarray, length: int = LENGTH)
     starts = np.maximum(sizes - length + 1, 0)
     total = int(starts.sum())
     wanted = np.repeat(begins - (np.cumsum(starts) - starts), starts) + np.arange(total)
-    hit = np.zeros(len(words) + 1, bool)  # a text's last starts are no hits, so runs don't cross texts
+    least = np.full(len(words) + 1, _NULL_ID, np.int64)  # a text's last starts have none, so runs don't cross texts
     for at in suffix_blocks(words, ends, wanted):
         new = np.ones(len(at), bool)
         new[1:] = ~same_prefix(words, at[1:], at[:-1], length)
         run = np.flatnonzero(new)
-        own = owners[text[at]]
-        hit[at] = np.repeat(np.minimum.reduceat(own, run), np.diff(np.append(run, len(at)))) < own
-    edge = np.flatnonzero(hit[1:] != hit[:-1]) + 1
-    if len(hit) and hit[0]:
-        edge = np.concatenate(([0], edge))
+        least[at] = np.repeat(np.minimum.reduceat(owners[text[at]], run), np.diff(np.append(run, len(at))))
+    return begins, least
+
+
+def owned_spans(which: np.ndarray, ids: np.ndarray, sizes: np.ndarray, begins: np.ndarray, least: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, begin, end) of the bytes of members (a text each, and an identifier) that repeat a smaller identifier's."""
+    starts = np.maximum(sizes - length + 1, 0) + 1  # and one place without a start, between members
+    ends = np.cumsum(starts)
+    member = np.repeat(np.arange(len(which)), starts)
+    offset = np.arange(int(ends[-1]) if len(ends) else 0) - (ends - starts)[member]
+    hit = (least[begins[which][member] + offset] < ids[member]) & (offset < starts[member] - 1)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
     first, last = edge[::2], edge[1::2]
-    return text[first], first - begins[text[first]], last - begins[text[first]] + length - 1
+    return member[first], offset[first], offset[last - 1] + length if len(last) else last
+
+
+def repeated_spans(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, begin, end) of the bytes that strings of ``length`` cover which also start in a text of a smaller owner."""
+    begins, least = least_owners(texts, owners, length)
+    return owned_spans(np.arange(len(texts)), owners, np.array([len(t) for t in texts], np.int64), begins, least, length)
 
 
 # -- minimisers ------------------------------------------------------------------------------------------
@@ -243,8 +261,13 @@ _LOW = np.uint64((1 << 40) - 1)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """By the upper 24 bits; the lower 40 travel. Hashes that only look alike cost a comparison, no result."""
-    return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    """By all bits, mixed again: the smallest of several hashes are crowded. Hashes that only look alike cost a comparison, no result."""
+    return (mix64(hashes + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _lot(ids: np.ndarray, buckets: int) -> int:
+    """A bucket for what is decided already, by the batch's first identifier."""
+    return int(_bucket(ids[:1].astype(np.uint64), buckets)[0])
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -330,7 +353,7 @@ def _concat(parts: list[np.ndarray], kind) -> np.ndarray:
 _BINARY = pa.binary()
 
 
-def _shared_minimisers(texts: DataFrame, buckets: int, length: int) -> DataFrame:
+def _shared_minimisers(texts: DataFrame, buckets: int, parts: int, length: int) -> DataFrame:
     """(id, t, found): the lower bits of each document's minimisers that documents of two identifiers have at least."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +372,7 @@ def _shared_minimisers(texts: DataFrame, buckets: int, length: int) -> DataFrame
                 asks = (np.concatenate((hashes[first], hashes[twins])), np.concatenate((low, number[twins])), np.concatenate((many, np.zeros(int(twins.sum()), bool))))
                 know = np.repeat(many, size)
                 for known, (h, n, m) in ((False, asks), (True, (hashes[know], number[know], np.zeros(int(know.sum()), bool)))):
-                    for bucket, at in _parts(_bucket(h, buckets), n, len(rows)):
+                    for bucket, at in _parts(np.full(len(h), _lot(ids, buckets)) if known else _bucket(h, buckets), n, len(rows)):
                         out.append((bucket, known, pack40(h[at]), pack_ascending(ids[n[at]]), _pack_ts(ts[n[at]]), b"" if known else np.packbits(m[at]).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), *[_BINARY] * 4))], names=["bucket", "known", "hashes", "ids", "ts", "many"])
@@ -370,10 +393,10 @@ def _shared_minimisers(texts: DataFrame, buckets: int, length: int) -> DataFrame
         return _by_document(ids, ts, np.frombuffer(pack40(hashes), np.uint8).reshape(-1, 5))
 
     spread = texts.mapInArrow(entries, "bucket long, known boolean, hashes binary, ids binary, ts binary, many binary")
-    return spread.groupBy("bucket").applyInPandas(decide, "id long, t long, found binary").groupBy("id", "t").agg(F.collect_list("found").alias("found"))
+    return spread.repartition(parts, "bucket").groupBy("bucket").applyInPandas(decide, "id long, t long, found binary").groupBy("id", "t").agg(F.collect_list("found").alias("found"))
 
 
-def _spans(squeezed: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
+def _spans(squeezed: DataFrame, shared: DataFrame, buckets: int, parts: int, length: int, compress: bool) -> DataFrame:
     """(id, t, found): pairs of uint32, the byte spans of each document that repeat a smaller identifier's."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +414,7 @@ def _spans(squeezed: DataFrame, shared: DataFrame, buckets: int, length: int) ->
             # rows are in order of identifiers, so a block's first document has the smallest
             for k, (doc, a, n) in enumerate(zip(number.tolist(), start.tolist(), size.tolist())):
                 content = raws[doc][a : a + n]
-                if owner.setdefault(content, own_ids[doc]) == own_ids[doc]:
+                if not compress or owner.setdefault(content, own_ids[doc]) == own_ids[doc]:
                     contents.append(content)
                 else:
                     first[k] = False
@@ -400,47 +423,35 @@ def _spans(squeezed: DataFrame, shared: DataFrame, buckets: int, length: int) ->
             out = []
             for known in (False, True):
                 mine = np.flatnonzero(first != known)
-                for b, at in _parts(bucket[mine], number[mine], max(1, len(rows))):
+                for b, at in _parts(np.full(len(mine), _lot(ids, buckets)) if known else bucket[mine], number[mine], max(1, len(rows))):
                     at = mine[at]
-                    out.append((b, known, squeeze(b"".join([contents[j] for j in at])), size[at].astype("<u2").tobytes(), b"" if known else (hashes[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), pack_ascending(ids[number[at]]), _pack_ts(ts[number[at]]), squeeze(start[at].astype("<u4").tobytes())))
+                    out.append((b, known, squeeze(b"".join([contents[j] for j in at])), size[at].astype("<u2").tobytes(), pack_ascending(ids[number[at]]), _pack_ts(ts[number[at]]), squeeze(start[at].astype("<u4").tobytes())))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), *[_BINARY] * 6))], names=["bucket", "known", "contents", "sizes", "hashes", "ids", "ts", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), *[_BINARY] * 5))], names=["bucket", "known", "contents", "sizes", "ids", "ts", "starts"])
 
     def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
         parts: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
         joined = b"".join(unsqueeze(c) for c, known in zip(rows["contents"], rows["known"]) if not known)
-        for known, sizes, hashes, ids, ts, starts in zip(*(rows[c] for c in ("known", "sizes", "hashes", "ids", "ts", "starts"))):
+        for known, sizes, ids, ts, starts in zip(*(rows[c] for c in ("known", "sizes", "ids", "ts", "starts"))):
             n = len(sizes) // 2
-            parts[bool(known)].append((np.frombuffer(sizes, "<u2").astype(np.int64), np.frombuffer(hashes, "<u4"), unpack_ascending(ids), _unpack_ts(ts, n), np.frombuffer(unsqueeze(starts), "<u4").astype(np.int64)))
-        sizes, hashes, ids, ts, starts = (_concat([p[k] for p in parts[False]], kind) for k, kind in enumerate((np.int64, np.uint32, np.int64, np.int64, np.int64)))
+            parts[bool(known)].append((np.frombuffer(sizes, "<u2").astype(np.int64), unpack_ascending(ids), _unpack_ts(ts, n), np.frombuffer(unsqueeze(starts), "<u4").astype(np.int64)))
+        sizes, ids, ts, starts = (_concat([p[k] for p in parts[False]], np.int64) for k in range(4))
         ends = np.cumsum(sizes)
-        index: dict[bytes, int] = {}
-        which = np.array([index.setdefault(joined[a:b], len(index)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64)
-        contents = list(index)
+        index: dict[bytes | int, int] = {}
+        which = np.array([index.setdefault(joined[a:b] if compress else a, len(index)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64)
+        contents = list(index) if compress else [joined[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
         owner = np.full(len(contents), _NULL_ID, np.int64)
         np.minimum.at(owner, which, ids)
-        of = np.zeros(len(contents), np.uint32)
-        of[which] = hashes
-        _, group, members = np.unique(of, return_inverse=True, return_counts=True)
-        # a block whose minimiser no other block has is equal to itself alone
-        sort = np.flatnonzero(members[group] > 1) if len(contents) else np.zeros(0, np.int64)
-        whole = ids > owner[which] if len(which) else np.zeros(0, bool)
-        found = [(ids[whole], ts[whole], starts[whole], starts[whole] + sizes[whole])]
-        found += [(i, t, a, a + n) for n, _, i, t, a in parts[True]]
-        if len(sort):
-            text, begin, end = repeated_spans([contents[j] for j in sort], owner[sort], length)
-            text = sort[text]  # ascending
-            lo, hi = (np.searchsorted(text, which[~whole], side=x) for x in ("left", "right"))
-            many = hi - lo
-            span = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            own = np.repeat(np.flatnonzero(~whole), many)
-            found.append((ids[own], ts[own], starts[own] + begin[span], starts[own] + end[span]))
+        found = [(i, t, a, a + n) for n, i, t, a in parts[True]]
+        if len(contents):
+            member, begin, end = owned_spans(which, ids, sizes, *least_owners(contents, owner, length), length)
+            found.append((ids[member], ts[member], starts[member] + begin, starts[member] + end))
         ids, ts, begin, end = (np.concatenate(x) for x in zip(*found))
         return _by_document(ids, ts, np.stack((begin, end), 1).astype("<u4").view(np.uint8).reshape(-1, 8))
 
     candidates = squeezed.join(shared, ["id", "t"])
-    spread = candidates.select("id", "t", "z", "found").mapInArrow(blocks, "bucket long, known boolean, contents binary, sizes binary, hashes binary, ids binary, ts binary, starts binary")
-    return spread.groupBy("bucket").applyInPandas(sort_bucket, "id long, t long, found binary").groupBy("id", "t").agg(F.collect_list("found").alias("found"))
+    spread = candidates.select("id", "t", "z", "found").mapInArrow(blocks, "bucket long, known boolean, contents binary, sizes binary, ids binary, ts binary, starts binary")
+    return spread.repartition(parts, "bucket").groupBy("bucket").applyInPandas(sort_bucket, "id long, t long, found binary").groupBy("id", "t").agg(F.collect_list("found").alias("found"))
 
 
 def merge_spans(found: list[bytes] | None) -> np.ndarray:
@@ -455,7 +466,7 @@ def merge_spans(found: list[bytes] | None) -> np.ndarray:
     return np.stack((spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]), 1)
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+def with_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", compress: bool = True) -> tuple[DataFrame, bool]:
     """(id, t, z, found): each document's squeezed text (null for a null text) and packed spans of repeated bytes.
 
     Also whether identifiers repeat: if so, t is the text's hash and tells their rows apart, else it is 0. The
@@ -463,7 +474,9 @@ def with_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = parts_for(docs, BUCKET_MB, least=max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts_for(docs, BUCKET_MB, least=max(LEAST_BUCKETS, tasks))
+    parts = min(buckets, parts_for(docs, TASK_MB, least=max(LEAST_BUCKETS, tasks)))
     own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
     repeated = not docs.groupBy(own_id.alias("id")).count().where("count > 1").isEmpty()
     t = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)) if repeated else F.lit(0).cast("long")
@@ -476,19 +489,20 @@ def with_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
 
     # the filter, which holds for all rows, is what the inner join would add: so both joins have one exchange
     squeezed = texts.mapInArrow(pack, "id long, t long, z binary").where("id is not null and t is not null")
-    spans = _spans(squeezed, _shared_minimisers(texts, buckets, length), buckets, length)
+    spans = _spans(squeezed, _shared_minimisers(texts, buckets, parts, length), buckets, parts, length, compress)
     return squeezed.join(spans, ["id", "t"], "left"), repeated
 
 
-def span_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def span_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", compress: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller
     identifier; strings don't cross documents. Null texts are empty; null identifiers are larger than all
     others and equal to each other; rows of one identifier don't remove each other's bytes, and each of them
-    counts as that document. Repeated rows stay; an empty table gives no rows.
+    counts as that document. Repeated rows stay; an empty table gives no rows. An identifier of 2^63 - 1 counts
+    as null.
     """
-    rows, _ = with_spans(docs, length, id_col, text_col)
+    rows, _ = with_spans(docs, length, id_col, text_col, compress)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
