@@ -159,6 +159,33 @@ def strip_masked(sliced: DataFrame, filter_mask: float | None = None, max_n: int
     return sliced.where(ok)
 
 
+def genome_sequences(bed: DataFrame, genomes: DataFrame, buffer_to: int | None = None, filter_mask: float | None = None, max_n: int = 0) -> DataFrame:
+    """(header, chromo, start, end, sequence) of intervals, brought to a length and screened; ``bed`` has ord, chromo, start, end.
+
+    A slice shorter than ``buffer_to`` goes (a genome's end), as does one with too many N or masked bases.
+    """
+    kept = strip_masked(slice_genomes(widen(bed, buffer_to), genomes), filter_mask, max_n, buffer_to or 0)
+    header = F.concat(F.lit("slice_"), "ord", F.lit(" |"), "chromo", F.lit(":"), "start", F.lit("-"), "end")
+    return kept.select(header.alias("header"), "chromo", "start", "end", "sequence")
+
+
+def overlaps(a: DataFrame, b: DataFrame, bin_size: int = 10_000) -> DataFrame:
+    """Pairs (chromo, a_start, a_end, a_name, b_start, b_end, b_name) of half-open intervals that share a base.
+
+    An equi-join on chromosome and bin, to which each interval goes that it touches; a pair is taken in the bin
+    where the later of its starts lies, so once.
+    """
+
+    def spread(x: DataFrame, side: str) -> DataFrame:
+        named = x.where("start < end").select("chromo", *[F.col(c).alias(f"{side}_{c}") for c in ("start", "end", "name")])
+        bins = F.sequence(F.floor(F.col(f"{side}_start") / bin_size), F.floor((F.col(f"{side}_end") - 1) / bin_size))
+        return named.withColumn("bin", F.explode(bins))
+
+    met = spread(a, "a").join(spread(b, "b"), ["chromo", "bin"])
+    own = F.floor(F.greatest("a_start", "b_start") / bin_size) == F.col("bin")
+    return met.where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & own).drop("bin")
+
+
 def slice_plan(hits: DataFrame, pattern: str = PROBE_PATTERN, contig_orient: bool = False, gap: int = 500) -> DataFrame:
     """Per locus of one genome: contig, first start, end of the last hit by start, strand, hits, and why it is dropped.
 

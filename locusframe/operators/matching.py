@@ -127,6 +127,27 @@ def probes_without_dupes(probes: DataFrame, dupes: DataFrame, pattern: str = PRO
     return probes.withColumn("locus", locus_name(F.col("id"), pattern)).join(dupes.select("locus"), "locus", "left_anti")
 
 
+def bed_without_dupes(bed: DataFrame, dupes: DataFrame, pattern: str = PROBE_PATTERN, names_are_loci: bool = False) -> DataFrame:
+    """Intervals whose locus is no duplicate: of probes, by the pattern, or of loci, by their names."""
+    locus = F.col("name") if names_are_loci else locus_name(F.col("name"), pattern)
+    return bed.withColumn("__locus", locus).join(dupes.select(F.col("locus").alias("__locus")).distinct(), "__locus", "left_anti").drop("__locus")
+
+
+def assembly_contigs(wanted: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(ord, header, sequence) of listed contigs; ``wanted`` has (ord, assembly, contig), ``contigs`` (assembly, contig, sequence).
+
+    An assembly's name ends before ``|``; the taxon in the header is what comes before its first dot, hyphens
+    as underscores. Lines of assemblies that can't be read are left out; a contig that its assembly lacks is an
+    error.
+    """
+    named = wanted.withColumn("assembly", F.split_part("assembly", F.lit("|"), F.lit(1)))
+    known = contigs.select("assembly").distinct()
+    found = named.join(known, "assembly", "left_semi").join(contigs.withColumn("__there", F.lit(True)), ["assembly", "contig"], "left")
+    lost = F.raise_error(F.concat(F.lit("no contig "), "contig", F.lit(" in "), "assembly")).cast("string")
+    taxon = F.translate(F.split_part("assembly", F.lit("."), F.lit(1)), "-", "_")
+    return found.select("ord", F.concat(taxon, F.lit("|"), F.when(F.col("__there"), F.col("contig")).otherwise(lost)).alias("header"), "sequence")
+
+
 def pivot_matches(matches: DataFrame, taxa: list[str], value: str = "flag") -> DataFrame:
     """The wide table: one row a locus and one column a taxon, 0/1 flags or ``contig(strand)``."""
     cell = F.lit(1) if value == "flag" else F.concat("contig", F.lit("("), "strand", F.lit(")"))

@@ -5,13 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Taxa up to which an exhaustive search is allowed.
-MOST_TAXA = 40
-
-
 def taxon_bits(by_taxon: DataFrame, taxa: Sequence[str]) -> tuple[list[int], list[str]]:
     """Each taxon's loci as a bit set, and the loci in bit order.
 
@@ -54,8 +50,6 @@ def _names(bits: int, loci: Sequence[str]) -> list[str]:
 
 def optimise_exhaustive(by_taxon: DataFrame, taxa: Sequence[str]) -> DataFrame:
     """(size, organisms, loci, n_loci): the best group of every size."""
-    if len(taxa) > MOST_TAXA:
-        raise ValueError(f"{len(taxa)} taxa are too many for all groups; draw samples")
     spark = by_taxon.sparkSession
     bits, loci = taxon_bits(by_taxon, taxa)
     names, whole = list(taxa), (1 << len(loci)) - 1
@@ -122,3 +116,16 @@ def optimise_random(by_taxon: DataFrame, taxa: Sequence[str], samples: int = 10,
 
     numbers = by_taxon.sparkSession.range(0, samples, numPartitions=min(samples, 64)).select(F.col("id").alias("sample"))
     return numbers.mapInPandas(kernel, "sample long, organisms array<string>, loci array<string>, n_loci long")
+
+
+def exclusion_tallies(samples: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(taxon, excluded): in how many samples the best group leaves a drawn taxon out; ``drawn`` has (sample, taxon)."""
+    kept = samples.select("sample", F.explode("organisms").alias("taxon"))
+    return drawn.join(kept, ["sample", "taxon"], "left_anti").groupBy("taxon").agg(F.count(F.lit(1)).alias("excluded"))
+
+
+def drawn_taxa(spark: SparkSession, taxa: Sequence[str], samples: int = 10, sample_size: int = 10, seed: int = 0) -> DataFrame:
+    """(sample, place, taxon): the taxa that ``optimise_random`` draws."""
+    rng = SplitMix64(seed)
+    rows = [(n, k, taxa[p]) for n in range(samples) for k, p in enumerate(draw(len(taxa), sample_size + 1, rng))]
+    return spark.createDataFrame(rows, "sample long, place int, taxon string")

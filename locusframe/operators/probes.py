@@ -65,13 +65,9 @@ def tiles(records: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
     return out.select(*keep, (F.col("k") + 1).alias("k"), F.col("tile.start").alias("start"), F.col("tile.end").alias("end"))
 
 
-def tiled_probes(records: DataFrame, tiling: Tiling = Tiling(), prefix: str = "uce-", designer: str = "designer", design: str = "design") -> DataFrame:
-    """Kept probes (locus, k, id, header, sequence, chromo, global_start, global_end).
-
-    ``records`` has locus, chromo, chromo_start, sequence. A probe goes if it hangs over an end, is masked by
-    the share ``mask`` at least, has N, or its GC share is outside 0.3 to 0.7 (each rule if asked for).
-    """
-    made = tiles(records, tiling).where((F.col("start") >= 0) & (F.col("end") <= F.length("sequence")))
+def keep_rule(made: DataFrame, tiling: Tiling) -> DataFrame:
+    """Tiles with their bases as ``part`` that stay: inside the sequence and by each rule that is asked for."""
+    made = made.where((F.col("start") >= 0) & (F.col("end") <= F.length("sequence")))
     made = made.withColumn("part", F.substring(F.col("sequence"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
     ok = F.length("part") >= tiling.length
     if tiling.mask is not None:
@@ -80,11 +76,21 @@ def tiled_probes(records: DataFrame, tiling: Tiling = Tiling(), prefix: str = "u
         ok = ok & ~F.upper("part").contains("N")
     if tiling.remove_gc:
         ok = ok & gc_fraction(F.col("part")).between(0.3, 0.7)
+    return made.where(ok)
+
+
+def tiled_probes(records: DataFrame, tiling: Tiling = Tiling(), prefix: str = "uce-", designer: str = "designer", design: str = "design") -> DataFrame:
+    """Kept probes (locus, k, id, header, sequence, chromo, global_start, global_end).
+
+    ``records`` has locus, chromo, chromo_start, sequence. A probe goes if it hangs over an end, is masked by
+    the share ``mask`` at least, has N, or its GC share is outside 0.3 to 0.7 (each rule if asked for).
+    """
+    made = keep_rule(tiles(records, tiling), tiling)
     a, b = F.col("chromo_start") + F.col("start"), F.col("chromo_start") + F.col("end")
     probe = F.concat(F.lit(prefix), F.col("locus").cast("string"), F.lit("_p"), "k")
     fields = [("design", F.lit(design)), ("designer", F.lit(designer)), ("probes-locus", F.col("locus")), ("probes-probe", F.col("k")), ("probes-global-chromo", F.col("chromo")), ("probes-global-start", a), ("probes-global-end", b), ("probes-local-start", F.col("start")), ("probes-local-end", F.col("end"))]
     meta = F.concat_ws(",", *[F.concat(F.lit(f"{k}:"), v.cast("string")) for k, v in fields])
-    return made.where(ok).select("locus", "k", probe.alias("id"), F.concat(probe, F.lit(" |"), meta).alias("header"), F.upper("part").alias("sequence"), "chromo", a.alias("global_start"), b.alias("global_end"))
+    return made.select("locus", "k", probe.alias("id"), F.concat(probe, F.lit(" |"), meta).alias("header"), F.upper("part").alias("sequence"), "chromo", a.alias("global_start"), b.alias("global_end"))
 
 
 def probe_loci_bed(probes: DataFrame) -> DataFrame:
@@ -92,6 +98,27 @@ def probe_loci_bed(probes: DataFrame) -> DataFrame:
     return probes.groupBy("locus").agg(F.max_by("chromo", "k").alias("chromo"), F.min("global_start").alias("start"), F.max("global_end").alias("end"))
 
 
+def listed_tiles(records: DataFrame, listed: DataFrame, tiling: Tiling = Tiling(), prefix: str = "", start_index: int = 0) -> DataFrame:
+    """Kept probes (ord, k, id, source, sequence, chromo, global_start, global_end) of several taxa's loci, in the list's order.
+
+    ``listed`` has (ord, locus); ``records`` has locus, taxon, taxon_ord, chromo, chromo_start, sequence. A locus's
+    probe numbers run on over its taxa and count those that are left out, too.
+    """
+    wanted = records.join(listed.select("locus", "ord"), "locus")
+    made = number_across_taxa(tiles(wanted, tiling), start_index)
+    kept = keep_rule(made, tiling)
+    return kept.select(
+        "ord", "k", F.concat(F.lit(prefix), F.col("locus").cast("string"), F.lit("_p"), "k").alias("id"), F.col("taxon").alias("source"), F.upper("part").alias("sequence"),
+        "chromo", (F.col("chromo_start") + F.col("start")).alias("global_start"), (F.col("chromo_start") + F.col("end")).alias("global_end"),
+    )
+
+
+def subset_counts(probes: DataFrame, place: int = 4) -> DataFrame:
+    """(taxon, probes): how many probes name each taxon in their metadata field at ``place`` (from 0)."""
+    field = F.get(F.split(F.element_at(F.split("header", r"\|", 2), 2), ","), F.lit(place))
+    return probes.groupBy(F.element_at(F.split(field, ":", 2), 2).alias("taxon")).agg(F.count(F.lit(1)).alias("probes"))
+
+
 def number_across_taxa(tiled: DataFrame, start_index: int = 1) -> DataFrame:
     """Probe numbers that run on over a locus's taxa: by taxon order and tile."""
     order = Window.partitionBy("locus").orderBy("taxon_ord", "k")

@@ -58,6 +58,24 @@ def classify_reads(files: DataFrame) -> DataFrame:
     return known.groupBy("folder").agg(*[x for k in READ_PATTERNS for x in (F.min(F.when(F.col("kind") == k, F.col("name"))).alias(k), F.count_if(F.col("kind") == k).alias(f"n_{k}"))])
 
 
+# Endings of contig files, in the order in which they are tried.
+CONTIG_ENDINGS = (".fa", ".fasta", ".contigs.fasta", ".contigs.fa", ".gz", ".fasta.gz", ".fa.gz")
+
+
+def contig_files(taxa: DataFrame, files: DataFrame) -> DataFrame:
+    """(taxon, name): the contig file of each taxon; ``files`` has (name). A taxon without one is an error.
+
+    Endings come first, then the name as it is, the name with hyphens for underscores or the other way round,
+    and either in lower case; the first file that is there counts.
+    """
+    swapped = F.when(F.col("taxon").contains("-"), F.translate("taxon", "-", "_")).otherwise(F.translate("taxon", "_", "-"))
+    tried = [x for ending in CONTIG_ENDINGS for stem in (F.col("taxon"), swapped) for name in (F.concat(stem, F.lit(ending)),) for x in (name, F.lower(name))]
+    asked = taxa.select("taxon", F.posexplode(F.array(*tried)).alias("place", "name"))
+    found = asked.join(files.select("name").distinct(), "name").groupBy("taxon").agg(F.min(F.struct("place", "name")).alias("x"))
+    missing = F.raise_error(F.concat(F.lit("no contig file of "), "taxon")).cast("string")
+    return taxa.select("taxon").distinct().join(found, "taxon", "left").select("taxon", F.coalesce("x.name", missing).alias("name"))
+
+
 def sample_plan(files: DataFrame, wanted: int) -> DataFrame:
     """Per folder and class, the proportion to sample so that ``wanted`` reads come out of all classes together.
 

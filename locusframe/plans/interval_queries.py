@@ -52,17 +52,33 @@ def screened_loci(p: Proxy) -> DataFrame:
     return intervals.screened_loci(p.intervals, 20)
 
 
-@query()
-def multi_merge_table(p: Proxy) -> DataFrame:
-    rows = p.intervals.select("chromo", "start", "end", F.concat(F.lit("taxon_"), F.col("locus") % 7).alias("taxon"), F.struct((F.col("locus") % 7).alias("t"), F.col("locus"), F.col("start")).alias("o"))
+# the fold, one interval of each chromosome after the other: one that meets none of the kept is kept
+_FOLD = """
+ordered AS (SELECT chromo, start, "end", 'taxon_' || CAST(locus % 7 AS VARCHAR) AS taxon, row_number() OVER (PARTITION BY chromo ORDER BY locus % 7, locus, start) AS ord FROM intervals),
+kept AS (
+    SELECT chromo, CAST(0 AS BIGINT) AS ord, CAST([] AS STRUCT(a BIGINT, b BIGINT, o BIGINT)[]) AS found FROM (SELECT DISTINCT chromo FROM intervals) AS c
+    UNION ALL
+    SELECT k.chromo, o.ord, CASE WHEN len(list_filter(k.found, lambda x: x.a < o."end" AND o.start < x.b)) = 0 THEN list_append(k.found, {'a': o.start, 'b': o."end", 'o': o.ord}) ELSE k.found END
+    FROM kept k JOIN ordered o ON o.chromo = k.chromo AND o.ord = k.ord + 1),
+known AS (SELECT chromo, unnest(arg_max(found, ord)) AS x FROM kept GROUP BY chromo),
+merged AS (SELECT k.chromo, x.a AS start, x.b AS "end", string_agg(DISTINCT o.taxon, ',' ORDER BY o.taxon) AS taxa FROM known k JOIN ordered o ON o.chromo = k.chromo AND o.ord >= x.o AND x.a < o."end" AND o.start < x.b GROUP BY k.chromo, x.a, x.b, x.o)"""
+
+
+def _merged(p: Proxy) -> DataFrame:
     from pyspark.sql import Window
 
+    rows = p.intervals.select("chromo", "start", "end", F.concat(F.lit("taxon_"), F.col("locus") % 7).alias("taxon"), F.struct((F.col("locus") % 7).alias("t"), F.col("locus"), F.col("start")).alias("o"))
     return intervals.multi_merge(rows.withColumn("ord", F.row_number().over(Window.partitionBy("chromo").orderBy("o"))))
 
 
-@query()
+@query("intervals", sql=f"""WITH RECURSIVE {_FOLD} SELECT chromo, start, "end", taxa FROM merged""")
+def multi_merge_table(p: Proxy) -> DataFrame:
+    return _merged(p).withColumn("taxa", F.array_join("taxa", ","))
+
+
+@query("intervals", sql=f"""WITH RECURSIVE {_FOLD} SELECT row_number() OVER (ORDER BY chromo, start, "end", taxa) - 1 AS uce, chromo, start, "end" AS stop, {", ".join(f"CAST(contains(taxa, '{t}') AS INT) AS {t}" for t in TAXA)} FROM merged""")
 def multi_merge_presence(p: Proxy) -> DataFrame:
-    return intervals.merged_presence(multi_merge_table(p), list(TAXA))
+    return intervals.merged_presence(_merged(p), list(TAXA))
 
 
 @query("intervals", sql="""SELECT chromo, start - CASE WHEN 65 - ("end" - start) > 0 THEN 8 ELSE 0 END AS start, "end" + CASE WHEN 65 - ("end" - start) > 0 THEN 8 ELSE 0 END AS "end", locus FROM intervals""")

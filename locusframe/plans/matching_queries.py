@@ -212,11 +212,6 @@ def optimise_exhaustive(p: Proxy) -> DataFrame:
     return best.select("size", F.array_join("organisms", ",").alias("organisms"), "n_loci")
 
 
-@query()
-def optimise_random(p: Proxy) -> DataFrame:
-    return optimise.optimise_random(matrix.matches_by_taxon(p.matches), TAXA, samples=10, sample_size=4, seed=7)
-
-
 _EXTRACT = """
 node AS (SELECT m.taxon, m.uce AS locus, m.strand, trim(replace(replace(replace(c.sequence, 'N', ''), 'n', ''), ',', ''), 'acgtn') AS clean
     FROM matches m JOIN contigs c ON m.taxon = c.taxon AND lower(m.contig) = lower(c.contig) WHERE m.uce IN (SELECT uce FROM loci)),

@@ -134,4 +134,6 @@ class Proxy:
 
 def with_(sql: str, *names: str) -> str:
     """DuckDB SQL with proxies in front as common table expressions."""
+    if sql.lstrip().upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({duck(n)})" for n in names) + ",\n" + sql.lstrip()[15:]
     return "WITH " + ",\n".join(f"{n} AS ({duck(n)})" for n in names) + "\n" + sql.lstrip() if not sql.lstrip().upper().startswith("WITH ") else "WITH " + ",\n".join(f"{n} AS ({duck(n)})" for n in names) + ",\n" + sql.lstrip()[5:]

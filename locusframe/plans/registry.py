@@ -28,7 +28,7 @@ def query(*proxies: str, sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from . import alignment_queries, interval_queries, matching_queries, misc_queries, sequence_queries  # noqa: F401
+    from . import alignment_queries, interval_queries, matching_queries, misc_queries, sequence_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

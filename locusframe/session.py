@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,6 +30,20 @@ def ship_package(spark: SparkSession) -> None:
     sc._locusframe_shipped = True
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's URI in the session's shared folder, ``spark.checkpoint.dir``; files there are the caller's to remove.
+
+    Where that setting is absent a temporary folder takes its place, which only a local session can share; on a
+    cluster its absence is an error.
+    """
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        base = f"file://{tempfile.mkdtemp(prefix='locusframe-files-')}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def register_functions(spark: SparkSession) -> None:
     """SQL functions over the kernels: tree topologies, rerooting, leaves, tiles and charsets."""
     from pyspark.sql import functions as F
