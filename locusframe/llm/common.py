@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
 
-#: Rows in an Arrow batch; texts can be long, so few rows.
-ARROW_ROWS = 128
+#: Rows and bytes in an Arrow batch; texts can be long, so few rows.
+ARROW_ROWS, ARROW_BYTES = 128, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +24,15 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the Python stages that this session runs from now on, and give them this code."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder's URI below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Where that setting is absent, as in tests, a temporary folder becomes the checkpoint folder.
+    Where that setting is absent in a local session, as in tests, a temporary folder becomes the checkpoint folder;
+    on a cluster it is an error. What operators write there (``token-shards-*``, ``pipeline-*`` and checkpoints) is
+    read after they return, so it is the caller's to remove.
     """
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext.getCheckpointDir()
@@ -41,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='locusframe-')}")
 
 

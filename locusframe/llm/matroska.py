@@ -144,6 +144,8 @@ def _laces(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]
     """(first byte, length) of each frame of a block's content."""
     if not lacing:
         return [(at, end - at)]
+    if at >= end:
+        raise ValueError("a laced block has no frames")
     count, at = data[at] + 1, at + 1
     if lacing == 2:
         each, rest = divmod(end - at, count)
@@ -175,6 +177,13 @@ def _laces(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]
 
 def demux(data: bytes) -> Media:
     """Parse Matroska bytes; malformed data raise ValueError."""
+    try:
+        return _demux(data)
+    except IndexError as e:
+        raise ValueError("the data end inside an element") from e
+
+
+def _demux(data: bytes) -> Media:
     media = Media()
     stack: list[tuple[int, int]] = []  # open masters with their ends
     at, cluster_time, entry, cue = 0, 0, {}, [0, 0, 0]
@@ -205,6 +214,8 @@ def demux(data: bytes) -> Media:
             continue
         if element in (SIMPLE_BLOCK, BLOCK):
             track, body, _ = _vint(data, at)
+            if body + 3 > end:
+                raise ValueError(f"the block at byte {start} has no time and flags")
             ahead = int.from_bytes(data[body : body + 2], "big", signed=True)
             flags = data[body + 2]
             step = media.tracks.get(track, {}).get("frame_ns", 0)

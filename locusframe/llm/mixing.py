@@ -3,12 +3,13 @@
 Every source has a weight schedule over training time 0 to 1, linear between knots. Its target of words is
 its share of the mix, stopped at a multiple of the source's size (the excess goes to the others by weight).
 A source's documents stand in a fixed shuffled order, passed through as often as the target asks; a copy of
-a document is taken if the middle of its words comes before the target. The integral of the schedule says
-how many of a source's words are due by a time; its inverse at the middle of a copy is the copy's training
-position, and the stream is range-sorted by position.
+a document is taken if it begins before the target, and the last copy only with its words up to the target, so a
+source's words are its target's whole number. The integral of the schedule says how many of a source's words are
+due by a time; its inverse at the middle of a copy's words is the copy's training position, and the stream is
+range-sorted by position.
 
-Running sums are found in two steps: sums of hash-ordered buckets, then sums inside a bucket, so a source
-with most of the rows is spread over all tasks.
+Running sums are found in three steps: sums of hash-ordered ranges of buckets, of buckets, and inside a bucket,
+so a source with most of the rows is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHARE = 1.5
 #: Most words taken from a source over its words.
 MOST_PASSES = 2
 SEED = 20240607
+#: What a target may lack to a whole number by rounding.
+ROUNDING = 1e-6
 
 
 def words(text_col: str = "text") -> Column:
@@ -38,6 +41,11 @@ def words(text_col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def first_words(text_col: str, n: Column) -> Column:
+    """A text's first n words as they stand, without what is before the first."""
+    return F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)), F.lit(1), n.cast("int")), "")
+
+
 def share_out(sizes: Sequence[int], weights: Sequence[float], total: float, caps: Sequence[float]) -> list[float]:
     """Targets in proportion to weight, none above its cap, the excess reshared by weight until none is above."""
     out = [0.0] * len(sizes)
@@ -129,17 +137,17 @@ def assign(
     source_col: str = "source",
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``keep`` columns (all, if None) and size, source_size, target, taken, positions (one for each copy taken).
+    """``keep`` columns (all, if None) and size, source_size, target, taken, positions and words (one for each copy taken).
 
     Null texts and texts of white space have size 0 and taken 0. A null source is a source of its own, the
     last. Rows with one identifier are told apart by size and text; equal rows are interchangeable. The
     order depends on the identifiers and ``seed`` alone, so reruns agree whatever the partitions. An empty
     table gives no rows. Columns of ``docs`` named like those that are added are replaced.
     """
-    added = ("size", "source_size", "target", "taken", "positions")
+    added = ("size", "source_size", "target", "taken", "positions", "words")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     if docs.isEmpty():
-        return docs.select(*keep).withColumns({"size": F.lit(0).cast("long"), "source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long"), "positions": F.array().cast("array<double>")})
+        return docs.select(*keep).withColumns({"size": F.lit(0).cast("long"), "source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long"), "positions": F.array().cast("array<double>"), "words": F.array().cast("array<bigint>")})
     bits = max(4, min(32, math.ceil(math.log2(8 * parts_for(docs, 16.0, least=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
     sized = docs.select(
         *[F.col(c) for c in keep],
@@ -155,24 +163,29 @@ def assign(
     mix = plan(buckets, weights, schedules, share, most_passes)
     spark = docs.sparkSession
     sources = spark.createDataFrame([(s, n, t, k % len(schedules)) for k, (s, n, t, _) in enumerate(mix.sources)], "__s string, source_size long, target double, __k int")
-    offsets = buckets.withColumn("__before", F.sum("size").over(Window.partitionBy("__s").orderBy("__b")) - F.col("size")).drop("size").join(sources, "__s")
+    ranged = buckets.withColumn("__c", F.shiftright("__b", bits // 2))
+    passed = ranged.groupBy("__s", "__c").agg(F.sum("size").alias("n")).select("__s", "__c", (F.sum("n").over(Window.partitionBy("__s").orderBy("__c")) - F.col("n")).alias("passed"))
+    before = F.col("passed") + F.sum("size").over(Window.partitionBy("__s", "__c").orderBy("__b")) - F.col("size")
+    offsets = ranged.join(passed, ["__s", "__c"]).select("__s", "__b", before.alias("__before")).join(sources, "__s")
     inside = Window.partitionBy("__s", "__b").orderBy("__h", "__id", "size", "__t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = sized.join(offsets, ["__s", "__b"])
-    rows = rows.withColumn("__middle", F.col("__before") + F.sum("size").over(inside) - F.col("size") / 2.0)
-    middles = F.filter(F.array(*[F.col("__middle") + F.lit(float(e)) * F.col("source_size") for e in range(most_passes)]), lambda x: x < F.col("target"))
-    rows = rows.withColumn("__middles", middles)
+    rows = rows.withColumn("__start", F.col("__before") + F.sum("size").over(inside) - F.col("size"))
+    rows = rows.withColumn("__whole", F.floor(F.col("target") + F.lit(ROUNDING)).cast("long"))
+    starts = F.filter(F.array(*[F.col("__start") + F.lit(e) * F.col("source_size") for e in range(most_passes)]), lambda x: x < F.col("__whole"))
+    rows = rows.withColumn("__starts", starts).withColumn("words", F.transform("__starts", lambda x: F.least(F.col("size"), F.col("__whole") - x)))
+    rows = rows.withColumn("__middles", F.zip_with("__starts", "words", lambda x, n: x + n / F.lit(2.0)))
     times: Column | None = None
     for k, knots in enumerate(schedules):
         here = F.transform("__middles", _inverse(knots))
         times = F.when(F.col("__k") == k, here) if times is None else times.when(F.col("__k") == k, here)
-    return rows.select(*[F.col(c) for c in keep], "size", "source_size", "target", (F.col("size") * F.size("__middles")).cast("long").alias("taken"), times.alias("positions"))
+    return rows.select(*[F.col(c) for c in keep], "size", "source_size", "target", F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"), times.alias("positions"), "words")
 
 
 def stream(assigned: DataFrame) -> DataFrame:
-    """One row for each copy taken, with position and pass number, range-sorted by position.
+    """One row for each copy taken, with position, pass number and its words, range-sorted by position.
 
     Positions lie in 0 to 1 and demand is spread over them, so equal ranges of position are the partitions.
     """
     n = parts_for(assigned, 16.0, least=int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    copies = assigned.select("*", F.posexplode("positions").alias("pass", "position")).drop("positions")
+    copies = assigned.select("*", F.posexplode(F.arrays_zip("positions", "words")).alias("pass", "__x")).withColumn("position", F.col("__x.positions")).withColumn("words", F.col("__x.words")).drop("positions", "__x")
     return copies.repartitionById(n, F.least(F.floor(F.col("position") * n), F.lit(n - 1)).cast("int")).sortWithinPartitions("position", "pass")

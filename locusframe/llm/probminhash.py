@@ -304,20 +304,21 @@ def components(edges: DataFrame) -> DataFrame:
 def _links_in(rows: pd.DataFrame, least: int, similarity: float, height: int) -> list[tuple[int, int]]:
     """Links between members of one band, enough of them to join all components that links join.
 
-    Members are compared across components only, by signature and then by their whole weighted sets; a pair
+    Members outside the band's largest component are compared with the members in it, where the group has those,
+    or else with one another; only across components, by signature and then by their whole weighted sets. A pair
     that shares an earlier band is left to it.
     """
     rows = rows.sort_values("node", ignore_index=True)
     signature = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
     sets = [(u := unpack40(s), np.frombuffer(c, "<u4") if c else np.ones(len(u), np.uint32)) for s, c in zip(rows["shingles"], rows["counts"])]
     node, block, number = rows["node"].to_numpy(), rows["block"].to_numpy(), int(rows["number"].iloc[0])
-    _, component, sizes = np.unique(rows["label"].to_numpy(), return_inverse=True, return_counts=True)
-    largest = component == sizes.argmax()
-    two = rows["p"].iloc[0] != rows["q"].iloc[0]
+    _, component = np.unique(rows["label"].to_numpy(), return_inverse=True)
+    largest = rows["big"].to_numpy()
+    with_largest, two = bool(rows["with_largest"].iloc[0]), rows["p"].iloc[0] != rows["q"].iloc[0]
     out = []
-    for k in np.flatnonzero(~largest):  # pairs inside the largest component need no comparison
-        other = (component != component[k]) & (largest | (node > node[k]))
-        if two:
+    for k in np.flatnonzero(~largest):
+        other = (component != component[k]) & (largest if with_largest else node > node[k])
+        if two and not with_largest:
             other &= block != block[k]
         at = np.flatnonzero(other)
         agree = signature[at] == signature[k]
@@ -344,17 +345,26 @@ def _more_links(members: DataFrame, labels: DataFrame, signed: DataFrame, docs:
     y = small.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
     few = _agree(x.join(y, "band").where("a < b and la <> lb").select("a", "b").distinct(), signed, least)
     few = _verify(few, signed, docs, id_col, text_col, similarity, words)
-    # large bands: each pair of blocks of members is one group, compared and verified in place
-    large = rest.where(F.col("n") > SMALL_BAND).withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-    large = large.select("band", "number", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
-    large = large.select("band", "number", "node", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    # large bands: blocks of members outside the largest component meet one another and the largest's blocks, each
+    # pair of blocks in a group of its own, compared and verified in place; pairs inside the largest need nothing,
+    # so its members travel once for each block of the others, which are few
+    large = rest.where(F.col("n") > SMALL_BAND)
+    of_label = large.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = of_label.groupBy("band").agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("all")).select("band", F.col("x.label").alias("most"), F.ceil(F.col("x.c") / BLOCK).cast("int").alias("of_big"), F.greatest(F.ceil((F.col("all") - F.col("x.c")) / BLOCK), F.lit(1)).cast("int").alias("of_small"))
+    large = large.join(largest, "band").withColumn("big", F.col("label") == F.col("most"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("big"), F.col("of_big")).otherwise(F.col("of_small"))).cast("int"))
+    smalls, bigs = F.sequence(F.lit(0), F.col("of_small") - 1), F.sequence(F.lit(0), F.col("of_big") - 1)
+    group = lambda w, p, q: F.struct(F.lit(w).alias("with_largest"), p.alias("p"), q.alias("q"))
+    of_big = F.transform(smalls, lambda x: group(True, x, F.col("block")))
+    of_small = F.concat(F.transform(bigs, lambda x: group(True, F.col("block"), x)), F.transform(smalls, lambda x: group(False, F.least("block", x), F.greatest("block", x))))
+    large = large.select("band", "number", "node", "label", "big", "block", F.explode(F.when(F.col("big"), of_big).otherwise(of_small)).alias("g")).select("band", "number", "node", "label", "big", "block", "g.*")
     sets = cut(_sets(_texts(large.select("node").distinct(), signed, docs, id_col, text_col), words).dropDuplicates(["node"]))
     large = large.join(sets, "node").join(signed.select("node", "signature"), "node")
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_links_in(rows, least, similarity, height), columns=["a", "b"], dtype="int64")
 
-    many = large.groupBy("band", "p", "q").applyInPandas(work, "a long, b long")
+    many = large.groupBy("band", "with_largest", "p", "q").applyInPandas(work, "a long, b long")
     return cut(few.union(many).distinct())
 
 

@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, text_co
     """Fit on the labelled rows that are not held out, at most ``most``: those with the smallest identifier hash.
 
     Null labels and identifiers are passed over; conflicting labels of one identifier count as their mean,
-    rounded down. The sample's statistics, ``most`` short rows at most, go to the driver.
+    rounded down; of an identifier's rows the one with the smallest text counts. The sample's statistics, ``most``
+    short rows at most, go to the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -204,13 +205,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, text_co
         .limit(most)
     )
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    sample = sample.groupBy(F.col("__id").cast("string").alias("__id")).agg(F.min("__text").alias("__text"), F.first("__y").alias("__y"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.int64()), batch.column("__y"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__y"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    rows = sample.select("__id", "__text", "__y").mapInArrow(work, "id long, y int, x array<double>").collect()
+    rows = sample.select("__id", "__text", "__y").mapInArrow(work, "id string, y int, x array<double>").collect()
     rows.sort(key=lambda r: (r.id, r.x))
     x = np.array([r.x for r in rows]).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r.y for r in rows], float))

@@ -133,12 +133,15 @@ ranked AS (
         sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM weighed),
 level AS (SELECT max(rest / open_weight) FILTER (rest / open_weight <= cap / w) AS unit FROM ranked),
 targets AS (SELECT source, source_size, k, least(CAST(cap AS DOUBLE), (SELECT unit FROM level) * w) AS target FROM weighed),
-middles AS (
-    SELECT d.doc_id, d.size, t.source_size, t.target, t.k, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
+starts AS (
+    SELECT d.doc_id, d.size, t.source_size, t.target, t.k, CAST(floor(t.target + {mixing.ROUNDING}) AS BIGINT) AS whole,
+        CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start
     FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 taken AS (
-    SELECT *, middle / target AS y, CAST({" + ".join(f"CASE WHEN middle + {e} * source_size < target THEN 1 ELSE 0 END" for e in range(mixing.MOST_PASSES))} AS INT) AS copies FROM middles)
-SELECT doc_id, size, source_size, round(target, 6) AS target, size * copies AS taken, CASE WHEN copies > 0 THEN round(CASE k {times} END, 6) END AS first_position, copies
+    SELECT *, (start + least(size, whole - start) / 2.0::DOUBLE) / target AS y,
+        CAST({" + ".join(f"CASE WHEN start + {e} * source_size < whole THEN 1 ELSE 0 END" for e in range(mixing.MOST_PASSES))} AS INT) AS copies,
+        CAST({" + ".join(f"greatest(least(size, whole - start - {e} * source_size), 0)" for e in range(mixing.MOST_PASSES))} AS BIGINT) AS words FROM starts)
+SELECT doc_id, size, source_size, round(target, 6) AS target, words AS taken, CASE WHEN copies > 0 THEN round(CASE k {times} END, 6) END AS first_position, copies
 FROM taken"""
 
 

@@ -216,9 +216,9 @@ class Reader:
 
 
 class PieceEncoder:
-    """A byte-level BPE tokenizer of the tokenizers library with its pieces memoised (bounded)."""
+    """A byte-level BPE tokenizer of the tokenizers library with its pieces memoised (bounded in bytes)."""
 
-    MOST = 800_000
+    MOST = 128 << 20
 
     def __init__(self, path: str):
         import json
@@ -262,22 +262,32 @@ class PieceEncoder:
         get, pieces = self.seen.__getitem__, self.pieces
         rest = iter(self._encode([t for t, p in zip(texts, plain) if not p]))
         out = [b"".join(map(get, pieces(t))) if p else next(rest) for t, p in zip(texts, plain)]
-        if len(self.seen) > self.MOST:
+        if self.seen.held > self.MOST:
             self.seen.clear()
+            self.seen.held = 0
         return out
 
 
 class _Pieces(dict):
-    """piece -> packed ids, by the library's own model, which takes a piece's bytes as their symbols."""
+    """piece -> packed ids, by the library's own model, which takes a piece's bytes as their symbols.
+
+    Pieces longer than ``LONGEST`` hardly recur and are not kept.
+    """
+
+    LONGEST = 1000
 
     def __init__(self, model, code: str):
         super().__init__()
         self.tokenize, self.code = model.tokenize, code
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
+        self.held = 0
 
     def __missing__(self, piece: str) -> bytes:
         found = self.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
-        packed = self[piece] = array(self.code, [t.id for t in found]).tobytes()
+        packed = array(self.code, [t.id for t in found]).tobytes()
+        if len(piece) <= self.LONGEST:
+            self[piece] = packed
+            self.held += 160 + len(piece) + len(packed)
         return packed
 
 

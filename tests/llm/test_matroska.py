@@ -24,6 +24,30 @@ def _file(body: bytes, unknown: bool = False) -> bytes:
     return K._HEADER + K._id(K.SEGMENT) + size + body
 
 
+def test_malformed_data_raise_value_errors(rng):
+    data = K.mux(bytes(rng.randrange(256) for _ in range(3 * K.FRAME)))
+    for _ in range(400):  # any bytes changed or cut off
+        bad = bytearray(data)
+        for _ in range(rng.randint(1, 4)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        try:
+            K.demux(bytes(bad[: rng.randint(0, len(bad))]))
+        except ValueError:
+            pass
+    short = K._id(K.CLUSTER) + K._size(5) + K._id(K.SIMPLE_BLOCK) + K._size(2) + b"\x81\x00"
+    laced = K._id(K.CLUSTER) + K._size(8) + K._id(K.SIMPLE_BLOCK) + K._size(5) + b"\x81\x00\x00\x02\x09"
+    for body in (short, laced):
+        with pytest.raises(ValueError):
+            K.demux(_file(body))
+
+
+def test_packets_of_rows_without_media(spark):
+    rows = [(1, None, "x", 5), (2, b"", "y", 6), (3, K.mux(b"a" * K.FRAME), "z", 7)]
+    media = spark.createDataFrame(rows, "doc_id long, media binary, feature string, track int")
+    assert [(r.doc_id, r.packet_no, r.n_bytes) for r in K.packet_table(media).collect()] == [(3, 0, K.FRAME)]
+    assert K.packet_table(media.limit(0)).count() == 0
+
+
 def test_lacings_groups_and_unknown_sizes():
     frames = [b"a" * 300, b"b" * 255, b"c" * 10, b"d" * 7]
     xiph = b"\x81\x00\x00" + bytes((0x82, 3)) + b"\xff\x2d" + b"\xff\x00" + b"\x0a" + b"".join(frames)

@@ -50,10 +50,12 @@ def test_assignment(spark, documents, rng):
     targets = dict(zip(names, M.share_out([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(sizes.values()), [2 * sizes[s] for s in names])))
     for r in sorted(got, key=key):
         assert r.size == size(r.text) and r.source_size == sizes[r.source] and math.isclose(r.target, targets[r.source])
-        assert 0 <= r.taken <= 2 * r.size and r.taken == r.size * len(r.positions)
-    for s in names:
-        assert abs(sum(r.taken for r in got if r.source == s) - targets[s]) <= 60
+        assert 0 <= r.taken <= 2 * r.size and r.taken == sum(r.words) and len(r.words) == len(r.positions)
+    for s in names:  # only one copy of a source is taken in part
+        assert sum(r.taken for r in got if r.source == s) == math.floor(targets[s] + M.ROUNDING)
+        assert sum(n < r.size for r in got if r.source == s for n in r.words) <= 1
     stream = M.stream(M.assign(docs))
+    assert stream.agg({"words": "sum"}).first()[0] == sum(r.taken for r in got)
     parts = [p for p in stream.rdd.glom().map(lambda rs: [r.position for r in rs]).collect() if p]
     flat = [x for p in parts for x in p]
     assert flat == sorted(flat) and len(flat) == sum(len(r.positions) for r in got)
@@ -61,4 +63,15 @@ def test_assignment(spark, documents, rng):
 
 def test_empty(documents):
     out = M.assign(documents([]), keep=("doc_id",))
-    assert out.count() == 0 and out.columns[-5:] == ["size", "source_size", "target", "taken", "positions"]
+    assert out.count() == 0 and out.columns[-6:] == ["size", "source_size", "target", "taken", "positions", "words"]
+
+
+def test_sources_of_one_long_document(spark, documents):
+    """Targets below half of a source's only document, and between one and two times it, are met by parts."""
+    docs = documents([(1, "a " * 1000, "en", "s1"), (2, "b " * 5000, "en", "s2"), (3, "c " * 100, "en", "s3")])
+    for r in M.assign(docs, weights=(1.0, 1.0, 1.0)).collect():
+        assert r.taken == math.floor(r.target + M.ROUNDING)
+    text = spark.createDataFrame([(" one  two\nthree four ", k) for k in range(5)], "text string, n int")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in text.select(M.first_words("text", F.col("n"))).collect()] == ["", "one  ", "one  two\n", "one  two\nthree ", "one  two\nthree four "]
