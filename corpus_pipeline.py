@@ -18,13 +18,19 @@ from locusframe.llm.queries import vocabulary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; its trees are learnt from the table of labels."""
+    """Documents that the quality classifier does not reject; its trees are learnt from the table of labels.
+
+    Every row is judged by its text: repeated rows alike, null and empty texts by all-zero statistics.
+    """
     trees = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, trees, keep=docs.columns).where("predicted = 1").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest identifier."""
+    """One document of each class of near duplicates: the one with the smallest identifier, null the last.
+
+    Null and empty texts are one class; equal rows count once.
+    """
     return probminhash.deduplicate(docs)
 
 
@@ -35,14 +41,22 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The curriculum: a row for each copy taken, range-sorted by training position."""
-    return mixing.stream(mixing.assign(docs)).select(*docs.columns)
+    """The curriculum: a row for each copy taken, range-sorted by training position.
+
+    A copy that is taken in part has the text's first words only. Texts without words are taken like others, and
+    take nothing of a source's target; a null source is one of its own.
+    """
+    copies = mixing.stream(mixing.assign(docs))
+    text = F.when(F.col("words") < F.col("size"), mixing.first_words("text", F.col("words"))).otherwise(F.col("text"))
+    chars = F.when(F.col("words") < F.col("size"), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    changed = {"text": text.alias("text"), "n_chars": chars.alias("n_chars")}
+    return copies.select(*[changed.get(c, F.col(c)) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy."""
-    tokens = bpe.token_column(docs.select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"))
-    return tokens.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    """Token ids of every copy, and the length of the readable text that the decoder makes of them; null texts have none."""
+    tokens = bpe.token_column(docs.select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"), decode=True)
+    return tokens.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), F.length("decoded_text").cast("long").alias("readable_chars"), "token_ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
