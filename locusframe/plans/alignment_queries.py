@@ -59,16 +59,16 @@ def character_totals(p: Proxy) -> DataFrame:
     return sites.character_totals(p.aln, by_locus=False)
 
 
-_SOME = "uneven AS (SELECT * FROM aln WHERE NOT regexp_full_match(seq, '-*|\\?*') AND (row_ord < 4 OR length(replace(seq, '?', '')) > 93))"
+_SOME = "uneven AS (SELECT * FROM gappy_aln WHERE NOT regexp_full_match(seq, '-*|\\?*'))"
 
 
 def _uneven(p: Proxy) -> DataFrame:
     """Alignments of different numbers of rows."""
-    return alignments.remove_empty_taxa(p.aln).where("row_ord < 4 or length(translate(seq, '?', '')) > 93")
+    return alignments.remove_empty_taxa(p.gappy_aln)
 
 
 @query(
-    "aln",
+    "gappy_aln",
     sql=f"""WITH {_SOME}, per AS (SELECT locus, count(*) AS taxa FROM uneven GROUP BY locus),
     wanted AS (SELECT CAST(q AS INT) AS percent, CAST(ceil((q / 100.0::DOUBLE - 0.01::DOUBLE) * (SELECT max(taxa) FROM per)) AS BIGINT) AS min_taxa FROM range(50, 100, 5) AS r(q))
     SELECT percent, min_taxa, (SELECT count(*) FROM per WHERE taxa >= min_taxa) AS loci FROM wanted""",
@@ -77,7 +77,7 @@ def occupancy_series(p: Proxy) -> DataFrame:
     return sites.occupancy_series(_uneven(p))
 
 
-@query("aln", sql=f"WITH {_SOME} SELECT taxa, count(*) AS loci FROM (SELECT locus, count(*) AS taxa FROM uneven GROUP BY locus) AS n GROUP BY taxa")
+@query("gappy_aln", sql=f"WITH {_SOME} SELECT taxa, count(*) AS loci FROM (SELECT locus, count(*) AS taxa FROM uneven GROUP BY locus) AS n GROUP BY taxa")
 def taxa_histogram(p: Proxy) -> DataFrame:
     return sites.taxa_histogram(_uneven(p))
 
@@ -146,7 +146,7 @@ def filter_alignments(p: Proxy) -> DataFrame:
     return alignments.filter_alignments(p.aln, ["taxon_7"], 90, 7)
 
 
-@query("aln", sql=f"WITH {_SOME} SELECT locus, count(*) AS n_taxa FROM uneven GROUP BY locus HAVING count(*) >= floor(0.75 * 8)")
+@query("gappy_aln", sql=f"WITH {_SOME} SELECT locus, count(*) AS n_taxa FROM uneven GROUP BY locus HAVING count(*) >= floor(0.75 * 8)")
 def min_taxa_loci(p: Proxy) -> DataFrame:
     return alignments.loci_with_min_taxa(_uneven(p), 8, 0.75)
 
@@ -156,13 +156,8 @@ def screen_repeated_n(p: Proxy) -> DataFrame:
     return p.random_aln.join(p.random_aln.where(F.col("seq").rlike("[Xx]|NNN|([Nn].*){6}")).select("locus").distinct(), "locus", "left_anti").select("locus", "row_ord", "taxon", "seq")
 
 
-@query("aln", sql="WITH two AS (SELECT * FROM aln WHERE row_ord < 2) SELECT * FROM two WHERE locus NOT IN (SELECT locus FROM two WHERE seq LIKE '%N%' OR seq LIKE '%n%' OR seq LIKE '%X%' OR seq LIKE '%x%')")
-def screen_nx(p: Proxy) -> DataFrame:
-    return alignments.screen_problems(p.aln.where("row_ord < 2"))
-
-
 @query("screen_aln", sql="SELECT * FROM screen_aln WHERE locus NOT IN (SELECT locus FROM screen_aln WHERE regexp_matches(seq, '[NnXx]'))")
-def screen_nx_all_rows(p: Proxy) -> DataFrame:
+def screen_nx(p: Proxy) -> DataFrame:
     return alignments.screen_problems(p.screen_aln)
 
 
@@ -171,7 +166,7 @@ def remove_empty_taxa(p: Proxy) -> DataFrame:
     return alignments.remove_empty_taxa(p.aln)
 
 
-@query("aln", sql=f"WITH {_SOME}, kept AS (SELECT * FROM uneven WHERE taxon IN ('taxon_1', 'taxon_5', 'taxon_7')) SELECT * FROM kept WHERE locus IN (SELECT locus FROM kept GROUP BY locus HAVING count(*) > 1)")
+@query("gappy_aln", sql=f"WITH {_SOME}, kept AS (SELECT * FROM uneven WHERE taxon IN ('taxon_1', 'taxon_5', 'taxon_7')) SELECT * FROM kept WHERE locus IN (SELECT locus FROM kept GROUP BY locus HAVING count(*) > 1)")
 def extract_taxa(p: Proxy) -> DataFrame:
     return alignments.extract_taxa(_uneven(p), include=["taxon_1", "taxon_5", "taxon_7"])
 
@@ -202,7 +197,7 @@ _LISTED = ", ".join(f"({k}, '{o}')" for k, o in enumerate(_ORGANISMS))
 
 
 @query(
-    "aln",
+    "gappy_aln",
     sql=f"""WITH {_SOME}, per AS (SELECT locus, max(length(seq)) AS n, max(row_ord) AS last FROM uneven GROUP BY locus HAVING count(*) >= 3),
     absent AS (SELECT p.locus, p.last, p.n, o.k, o.taxon FROM per p, (VALUES {_LISTED}) AS o(k, taxon) WHERE NOT EXISTS (SELECT 1 FROM uneven s WHERE s.locus = p.locus AND s.taxon = o.taxon))
     SELECT locus, row_ord, taxon, seq FROM uneven WHERE locus IN (SELECT locus FROM per)
@@ -216,7 +211,7 @@ _SETS = """lengths AS (SELECT locus, CAST(max(length(seq)) AS BIGINT) AS n FROM
 sets AS (SELECT locus AS name, CAST(sum(n) OVER (ORDER BY locus) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY locus) AS BIGINT) AS stop, CAST(row_number() OVER (ORDER BY locus) - 1 AS INT) AS ord FROM lengths)"""
 
 
-@query("aln", sql=f"WITH {_SOME}, {_SETS} SELECT * FROM sets")
+@query("gappy_aln", sql=f"WITH {_SOME}, {_SETS} SELECT * FROM sets")
 def charsets(p: Proxy) -> DataFrame:
     return concat.charsets(_uneven(p))
 
@@ -226,12 +221,12 @@ matrix AS (SELECT x.taxon, CAST(row_number() OVER (ORDER BY min(x.first), min(x.
     FROM taxa x CROSS JOIN sets t LEFT JOIN uneven s ON s.locus = t.name AND s.taxon = x.taxon GROUP BY x.taxon)"""
 
 
-@query("aln", sql=f"WITH {_SOME}, {_SETS}, {_MATRIX} SELECT * FROM matrix")
+@query("gappy_aln", sql=f"WITH {_SOME}, {_SETS}, {_MATRIX} SELECT * FROM matrix")
 def concat_matrix(p: Proxy) -> DataFrame:
     return concat.concat_matrix(_uneven(p))
 
 
-@query("aln", sql=f"WITH {_SOME} SELECT locus, taxon, seq FROM uneven WHERE length(replace(replace(seq, '-', ''), '?', '')) > 0")
+@query("gappy_aln", sql=f"WITH {_SOME} SELECT locus, taxon, seq FROM uneven WHERE length(replace(replace(seq, '-', ''), '?', '')) > 0")
 def split_concat(p: Proxy) -> DataFrame:
     a = _uneven(p)
     return concat.split_concat(concat.concat_matrix(a), concat.charsets(a))
@@ -254,7 +249,7 @@ def sample_concat(p: Proxy) -> DataFrame:
     return concat.sample_concat(p.aln, 10, 3, seed=11)
 
 
-@query("aln", sql=f"WITH {_SOME}, {_SETS} SELECT CAST(-1 AS INT) AS ord, 'begin sets;' AS line UNION ALL SELECT ord, 'charset ''' || name || ''' = ' || CAST(start + 1 AS VARCHAR) || '-' || CAST(stop AS VARCHAR) || ';' FROM sets UNION ALL SELECT CAST(max(ord) + 1 AS INT), 'charpartition combined = ' || string_agg(name || ':' || name, ', ' ORDER BY ord) || ';' || chr(10) || 'end;' FROM sets")
+@query("gappy_aln", sql=f"WITH {_SOME}, {_SETS} SELECT CAST(-1 AS INT) AS ord, 'begin sets;' AS line UNION ALL SELECT ord, 'charset ''' || name || ''' = ' || CAST(start + 1 AS VARCHAR) || '-' || CAST(stop AS VARCHAR) || ';' FROM sets UNION ALL SELECT CAST(max(ord) + 1 AS INT), 'charpartition combined = ' || string_agg(name || ':' || name, ', ' ORDER BY ord) || ';' || chr(10) || 'end;' FROM sets")
 def sets_block(p: Proxy) -> DataFrame:
     return concat.charset_text(concat.charsets(_uneven(p)))
 

@@ -1,8 +1,8 @@
 """Sequences, hits, alignments, intervals and reads derived from the tables of a data folder.
 
 Each proxy is one SQL text that both engines run; ``{table}`` stands for a table. Loci, contigs and
-alignments grow with the tables. Every row of a table is read; by design, ``matches`` and the queries' uneven
-alignments leave rows out by their values, for matrices and alignments with missing taxa.
+alignments grow with the tables. Every row of a table takes part: missing taxa come from rows dealt to another
+taxon (``matches``) and from rows that are all gaps (``gappy_aln``), not from rows left out.
 """
 
 from __future__ import annotations
@@ -42,12 +42,12 @@ PROXIES = {
     + _BASES
     + """) AS sequence
         FROM {part}""",
-    # a dense taxon-by-locus matrix; a few contigs serve two loci
+    # a taxon-by-locus matrix that only the last taxon has most loci of; a few contigs serve two loci
     "matches": """
-        SELECT DISTINCT 'uce-' || CAST(l_partkey AS STRING) AS uce, 'taxon_' || CAST(l_suppkey % 7 AS STRING) AS taxon,
-            'NODE_' || CAST((l_partkey - CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END) * 7 + l_suppkey % 7 AS STRING) AS contig,
-            CASE WHEN (l_partkey + l_suppkey % 7) % 2 = 0 THEN '+' ELSE '-' END AS strand
-        FROM {lineitem} WHERE (l_partkey * 13 + (l_suppkey % 7) * (l_partkey % 5)) % 17 > 4""",
+        SELECT DISTINCT 'uce-' || CAST(k AS STRING) AS uce, 'taxon_' || CAST(t AS STRING) AS taxon,
+            'NODE_' || CAST((k - CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END) * 7 + t AS STRING) AS contig,
+            CASE WHEN (k + t) % 2 = 0 THEN '+' ELSE '-' END AS strand
+        FROM (SELECT l_partkey AS k, CASE WHEN (l_partkey * 13 + (l_suppkey % 7) * (l_partkey % 5)) % 17 > 4 THEN l_suppkey % 7 ELSE 6 END AS t FROM {lineitem}) AS dealt""",
     "loci": "SELECT 'uce-' || CAST(p_partkey AS STRING) AS uce FROM {part}",
     "contigs": """
         SELECT taxon, contig, 'n,' || translate(md5(contig || taxon), '0123456789abcdef', 'ACGTacgtACGTNnRY') || translate(md5(taxon || contig), '0123456789abcdef', 'ACGTACGTACGTACKM') || 'acg' AS sequence
@@ -69,7 +69,11 @@ PROXIES = {
     + _NOISE
     + """) AS noise
                 FROM {documents}) AS parts) AS rows_of""",
-    # the same with rare N and X, so that some loci have none in any row
+    # the same with some rows of nothing but gaps, so that alignments have different numbers of taxa
+    "gappy_aln": """
+        SELECT locus, row_ord, taxon, CASE WHEN row_ord >= 4 AND length(replace(seq, '?', '')) <= 93 THEN repeat('-', CAST(length(seq) AS INT)) ELSE seq END AS seq
+        FROM ({aln}) AS all_rows""",
+    # alignments with rare N and X, so that some loci have none in any row
     "screen_aln": """
         SELECT locus, row_ord, taxon,
             CASE WHEN substr(md5(locus || taxon), 1, 1) = '0' THEN seq WHEN substr(md5(locus || taxon), 1, 2) = '1f' THEN translate(seq, 'N', 'x') ELSE translate(seq, 'N', 'A') END AS seq

@@ -299,16 +299,16 @@ def genome_sequences(p: Proxy) -> DataFrame:
     return intervals.genome_sequences(placed, genome, buffer_to=40, filter_mask=0.3).select("chromo", "start", "end", "sequence")
 
 
-@query("intervals", sql="""SELECT a.chromo, a.start AS a_start, a."end" AS a_end, a.locus AS a_name, b.start AS b_start, b."end" AS b_end, b.locus AS b_name FROM intervals a JOIN intervals b ON a.chromo = b.chromo AND a.start < b."end" AND b.start < a."end" WHERE a.locus % 2 = 0 AND b.locus % 2 = 1""")
+@query("intervals", sql="""SELECT a.chromo, a.start AS a_start, a."end" AS a_end, a.locus AS a_name, b.start AS b_start, b."end" AS b_end, b.locus AS b_name FROM intervals a JOIN intervals b ON a.chromo = b.chromo AND a.start < b."end" AND a."end" > b.start""")
 def interval_overlaps(p: Proxy) -> DataFrame:
-    """Intervals of even loci with those of odd ones."""
+    """All intervals with all, themselves included."""
     named = p.intervals.withColumnRenamed("locus", "name")
-    return intervals.overlaps(named.where("name % 2 = 0"), named.where("name % 2 = 1"), bin_size=100)
+    return intervals.overlaps(named, named, bin_size=100)
 
 
 @query(
     "tiling_loci",
-    sql="""WITH listed AS (SELECT locus, CAST(row_number() OVER (ORDER BY md5(CAST(locus AS VARCHAR)), locus) - 1 AS INT) AS ord FROM tiling_loci WHERE locus % 5 <> 0),
+    sql="""WITH listed AS (SELECT locus, CAST(row_number() OVER (ORDER BY md5(CAST(locus AS VARCHAR)), locus) - 1 AS INT) AS ord FROM tiling_loci),
     several AS (SELECT l.locus, ord, t AS taxon_ord, 'taxon_' || CAST(t AS VARCHAR) AS taxon, chromo, chromo_start + t AS chromo_start, substr(sequence, 1 + 3 * t, 100) AS sequence FROM listed l JOIN tiling_loci s ON l.locus = s.locus, range(0, 2) AS r(t)),
     n AS (SELECT *, length(sequence) AS n FROM several),
     middle AS (SELECT DISTINCT locus, ord, taxon_ord, taxon, chromo, chromo_start, sequence, CAST(trunc(n / 2.0::DOUBLE - 10 + k * 20) AS BIGINT) AS start FROM n, range(0, 20) AS r(k) WHERE n / 2.0::DOUBLE - 10 + k * 20 + 40 <= n
@@ -321,7 +321,7 @@ def listed_tiles(p: Proxy) -> DataFrame:
     """Two taxa's versions of the listed loci, tiled in the list's order."""
     from pyspark.sql import Window
 
-    listed = p.tiling_loci.where("locus % 5 <> 0").select("locus", (F.row_number().over(Window.orderBy(F.md5(F.col("locus").cast("string")), "locus")) - 1).cast("int").alias("ord"))
+    listed = p.tiling_loci.select("locus", (F.row_number().over(Window.orderBy(F.md5(F.col("locus").cast("string")), "locus")) - 1).cast("int").alias("ord"))
     both = p.tiling_loci.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("taxon_ord"))
     several = both.withColumn("taxon", F.concat(F.lit("taxon_"), "taxon_ord")).withColumn("chromo_start", F.col("chromo_start") + F.col("taxon_ord")).withColumn("sequence", F.substring(F.col("sequence"), 1 + 3 * F.col("taxon_ord"), F.lit(100)))
     return probes.listed_tiles(several, listed, probes.Tiling(length=40, density=2.0, mask=0.5, remove_ambiguous=True))
