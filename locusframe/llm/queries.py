@@ -151,7 +151,7 @@ def _op1_sql() -> str:
 WITH RECURSIVE texts AS (SELECT md5(coalesce(text, '')) AS k, min(doc_id) AS first_id, any_value(coalesce(text, '')) AS text FROM documents GROUP BY 1),
 words AS (SELECT k, [x FOR x IN regexp_split_to_array(text, '\s+') IF x <> ''] AS w FROM texts),
 shingles AS (SELECT k, array_to_string(w[i : i + {n - 1}], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM words WHERE len(w) > 0) AS places),
-weights AS (SELECT k, s, 1 + ln(count(*)) AS v FROM shingles GROUP BY k, s),
+weights AS (SELECT k, s, CAST(count(*) AS DOUBLE) AS v FROM shingles GROUP BY k, s),
 totals AS (SELECT k, sum(v) AS total FROM weights GROUP BY k),
 common AS (SELECT x.k AS a, y.k AS b, x.v AS va, y.v AS vb FROM weights x JOIN weights y ON x.s = y.s AND x.k < y.k),
 -- the similarity is at most the common shingles' share of either text

@@ -118,3 +118,24 @@ def test_counts_are_the_weights(documents, rng):
         assert counted(a, b) >= 0.82 and exact(a, b) < 0.79
     got = {r.doc_id: r.class_id for r in M.near_duplicates(documents(rows)).collect()}
     assert got == {k: k - k % 2 if k < 12 else k for k, _ in rows}
+
+
+def test_sql_weighs_by_counts(spark, tmp_path, rng):
+    import duckdb
+
+    from locusframe.llm import queries as Q
+
+    rows = []
+    for k in range(8):  # a repeated line and 80 words, of which some side by side differ: 0.8 is passed by counts only, or never
+        words = prose(rng, 80).split()
+        cut = 40 + 5 * k
+        rows += [(2 * k, " ".join([f"same line again {k}"] * 30 + words)), (2 * k + 1, " ".join([f"same line again {k}"] * 30 + words[:40] + prose(rng, cut - 40).split() + words[cut:]))]
+    rows += [(100, ""), (101, None), (102, "one two"), (103, "one  two"), (104, "one two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    sql = Q.oracle_sql()["op1_probminhash"]
+    got = sorted((r.doc_id, r.class_id, r.class_text) for r in Q.op1_probminhash(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(sql).fetchall())
+    damped = sql.replace("CAST(count(*) AS DOUBLE) AS v", "1 + ln(count(*)) AS v")
+    assert damped != sql and got != sorted(con.execute(damped).fetchall())
