@@ -17,13 +17,24 @@ from locusframe.llm.common import shared_dir, table
 from locusframe.llm.queries import vocabulary
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents with all columns but those that stages work on renamed, and what gives the names back.
+
+    Columns of any name, those that an operator adds included, thus keep their values.
+    """
+    used = ("doc_id", "text", "source", "n_chars")
+    names = {c: c if c in used else f"__own{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; its trees are learnt from the table of labels.
 
     Every row is judged by its text: repeated rows alike, null and empty texts by all-zero statistics.
     """
-    trees = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, trees, keep=docs.columns).where("predicted = 1").select(*docs.columns)
+    own, named = _apart(docs)
+    trees = quality.train(own, table(spark, sf_dir, "labels"))
+    return named(quality.score(own, trees, keep=own.columns).where("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +42,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null and empty texts are one class; equal rows count once.
     """
-    return probminhash.deduplicate(docs)
+    own, named = _apart(docs)
+    return named(probminhash.deduplicate(own))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that documents of smaller identifiers have; rows with nothing left, or nothing to begin with, go."""
-    left = suffix_dedup.remove_repeats(docs).where("text <> ''")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    own, named = _apart(docs)
+    left = suffix_dedup.remove_repeats(own).where("text <> ''")
+    return named(left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +59,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A copy that is taken in part has the text's first words only. Texts without words are taken like others, and
     take nothing of a source's target; a null source is one of its own.
     """
-    copies = mixing.stream(mixing.assign(docs))
+    own, named = _apart(docs)
+    copies = mixing.stream(mixing.assign(own))
     text = F.when(F.col("words") < F.col("size"), mixing.first_words("text", F.col("words"))).otherwise(F.col("text"))
     chars = F.when(F.col("words") < F.col("size"), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     changed = {"text": text.alias("text"), "n_chars": chars.alias("n_chars")}
-    return copies.select(*[changed.get(c, F.col(c)) for c in docs.columns])
+    return named(copies.select(*[changed.get(c, F.col(c)) for c in own.columns]))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +81,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokenize),
 ]
 
-#: SQL can't express the classifier, the sketches or the tokenizer; tests hold the stages against brute force.
+#: SQL can't express the classifier, the sketches or the tokenizer; ``tests/llm/test_pipeline_stages.py`` holds each stage against a plain version.
 ORACLE_SQL = None
 
 
