@@ -85,6 +85,12 @@ def test_columns(documents):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         stored = K.mux(payload)
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        x = [b - 128 for b in payload]
+        n = len(payload) // 192
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+        found = dict(part.split("=") for part in r.feature.split(";"))
+        assert [int(found[k]) for k in ("packets", "clusters", "cues", "ms", "crossings", "peak")] == [n, -(-n // 512), -(-n // 512), n * K.FRAME_NS // 1_000_000, crossings, max(map(abs, x))]
+        assert abs(float(found["rms"]) - (sum(v * v for v in x) / len(x)) ** 0.5) < 2e-3
     assert rows[2].feature == rows[5].feature
     packets = K.packet_table(media).where("doc_id = 4").orderBy("packet_no").collect()
     assert len(packets) == -(-100_000 // 192) and {p.n_bytes for p in packets} == {192}

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -51,3 +52,77 @@ def test_no_labels(spark, documents):
     trees = Q.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert [r.score for r in Q.score(docs, trees).collect()] == [0.5]
     assert Q.score(documents([]), trees).count() == 0
+
+
+def plain_fit(x, y, rounds, depth, rate=0.1, bins=64, l2=1.0, least_leaf=5):
+    """The same boosting over values instead of bins, one split tried at a time; the sum of the trees for each row."""
+    n, p = x.shape
+    prior = np.log((y.sum() + 1) / (n + 2) / (1 - (y.sum() + 1) / (n + 2)))
+    edges = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]))) for f in range(p)]
+    total = np.full(n, prior)
+
+    def grow(rows, g, h, d):
+        gs, hs = g[rows].sum(), h[rows].sum()
+        best = (1e-6, None, None)
+        if d < depth and len(rows) >= 2 * least_leaf:
+            for f in range(p):
+                for e in edges[f]:
+                    left = x[rows, f] <= e
+                    if min(left.sum(), (~left).sum()) < least_leaf:
+                        continue
+                    gl, hl = g[rows][left].sum(), h[rows][left].sum()
+                    gain = gl**2 / (hl + l2) + (gs - gl) ** 2 / (hs - hl + l2) - gs**2 / (hs + l2)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, e)
+        if best[1] is None:
+            out[rows] = -rate * gs / (hs + l2)
+            return
+        left = x[rows, best[1]] <= best[2]
+        grow(rows[left], g, h, d + 1)
+        grow(rows[~left], g, h, d + 1)
+
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-total))
+        out = np.zeros(n)
+        grow(np.arange(n), q - y, q * (1 - q), 0)
+        total = total + out
+    return 1 / (1 + np.exp(-total))
+
+
+def test_fit_against_a_plain_version():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(150, 3))
+    x[:, 2] = np.round(x[:, 2], 1)  # ties
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + r.normal(size=150) * 0.3) > 0).astype(float)
+    got = Q.fit(x, y, rounds=6, depth=3, bins=16).score(x)
+    assert np.allclose(got, plain_fit(x, y, 6, 3, bins=16), atol=1e-9)
+
+
+def plain_statistics(text):
+    """The statistics of one text from their meaning, by name."""
+    raw = (text or "").encode()
+    if not raw:
+        return dict.fromkeys(Q.STATISTICS, 0.0)
+    n, words, lines = len(raw), raw.split(), [x for x in raw.split(b"\n") if x]
+    out = {name: sum(b in set(chars) for b in raw) / n for name, chars in Q._CLASSES.items()}
+    per = lambda k, of: k / len(of) if of else 0.0
+    out |= {"log_bytes": np.log(n + 1), "log_words": np.log(len(words) + 1), "log_lines": np.log(len(lines) + 1), "line_bytes": np.log(n / max(1, len(lines)) + 1)}
+    out |= {"word_bytes": per(sum(map(len, words)), words), "distinct_words": per(len(set(words)), words), "distinct_lines": per(len(set(lines)), lines)}
+    out["top_word"] = per(max((words.count(w) for w in set(words)), default=0), words)
+    out["upper_words"] = per(sum(bool(re.search(rb"[A-Z]", w)) and not re.search(rb"[a-z]", w) for w in words), words)
+    out["long_words"] = per(sum(len(w) > 20 for w in words), words)
+    out["one_byte_words"] = per(sum(len(w) == 1 for w in words), words)
+    out["symbol_ends"] = per(sum(bool(re.search(rb"[!$%&*#@^~]\Z", w)) for w in words), words)
+    out["squeezed"] = len(zlib.compress(raw, 1)) / n
+    out["repeated_marks"] = sum(a == b and 0x20 < a < 0x30 for a, b in zip(raw, raw[1:])) / n
+    return out
+
+
+def test_statistics_against_a_plain_version(rng):
+    texts = ["", None, " ", "\n\n", "A", "WORD word $$ !! ..", "日本語 text é", "x" * 5000, "a b\nc\n\na b"]
+    texts += ["".join(rng.choice("aB1 \n\t.,!?$%&*#'()/-@é\x01") for _ in range(rng.randint(1, 6000))) for _ in range(30)]
+    got = Q.statistics(texts)
+    for t, row in zip(texts, got):
+        plain = plain_statistics(t)
+        assert set(plain) == set(Q.STATISTICS)
+        assert np.allclose(row, [plain[name] for name in Q.STATISTICS], atol=1e-12), (t, [(a, b, plain[a]) for a, b in zip(Q.STATISTICS, row) if abs(b - plain[a]) > 1e-12])
