@@ -76,3 +76,18 @@ def test_full_probes(spark):
     for bad in ([fragment("p1", 0, "A" * 30), fragment("p2", 20, "C" * 30)], [fragment("p1", 0, "A" * 30), fragment("p2", 20, "A" * 30, 999)], [fragment("p1", 0, "AN")]):
         with pytest.raises(Exception, match="conflicting|bad coordinates"):
             probes.full_probes(frame(bad)).collect()
+
+
+def test_overlaps_meet_as_distinct_intervals(spark, monkeypatch):
+    rows = [("c", 5 * (k % 4), 5 * (k % 4) + 7, None if k % 9 == 0 else f"n{k % 13}") for k in range(60)] + [("d", 0, 30, "x"), ("c", 4, 4, "empty"), (None, 0, 9, "y"), ("c", None, 9, "z")]
+    a = spark.createDataFrame(rows, "chromo string, start long, end long, name string")
+    b = a.where("name is null or name <> 'n3'")
+    real = [r for r in rows if None not in r[:3] and r[1] < r[2]]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    want = sorted(((c, s, e, n, s2, e2, n2) for c, s, e, n in real for c2, s2, e2, n2 in real if n2 != "n3" and c == c2 and s < e2 and s2 < e), key=key)
+    assert intervals.gathered(a.where("start < end and chromo is not null")).count() == 5  # not a row a name
+    for most in (4096, 2):
+        monkeypatch.setattr(intervals, "NAMES", most)
+        for size in (3, 10, 10_000):
+            assert sorted((tuple(r) for r in intervals.overlaps(a, b, size).collect()), key=key) == want
+    assert intervals.gathered(a.where("start < end")).selectExpr("max(size(names))").first()[0] == 2
