@@ -42,27 +42,30 @@ BLOCK, GATHER = 1 << 18, 12 << 20
 #: MB of a plan's estimated size for each bucket, and for each task, which sorts one bucket after the other.
 BUCKET_MB, TASK_MB = 4.0, 16.0
 LEAST_BUCKETS = 64
-_PIECE = 1 << 20
+#: Bytes that are hashed at a time, which fit a core's cache, and what no position's key is.
+_PIECE, _NO_KEY = 1 << 16, (1 << 64) - 1
 _NULL_ID = (1 << 63) - 1
 
 
 # -- suffix sorting of one bucket ------------------------------------------------------------------------
 
 
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one little-endian number; seven positions at the end have none."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,)).copy()
+
+
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as one big-endian number."""
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").ravel().astype(np.uint64)
+    return _eight(data).byteswap(True)
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    step = np.ones(len(keys), np.int64)
-    step[1:] = ranked[1:] != ranked[:-1]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(step)
-    return out
+def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of its group's first, whether the group has others) of each of the sorted values."""
+    new = np.ones(len(ordered) + 1, bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:-1])
+    first = np.flatnonzero(new[:-1])
+    return np.repeat(first, np.diff(np.append(first, len(ordered)))), ~(new[:-1] & new[1:])
 
 
 def sample_ranks(words: np.ndarray, ends: np.ndarray, period: int, cover: tuple[int, ...]) -> np.ndarray:
@@ -70,20 +73,33 @@ def sample_ranks(words: np.ndarray, ends: np.ndarray, period: int, cover: tuple[
 
     ``ends`` has the end of the text that each position lies in (0 for padding). Ranks of 8 bytes are doubled
     by shifts that are multiples of the period, which stay in the sample, until they cover the longest text.
+    A rank is the number of suffixes before its equals, so that only those that still have equals are sorted
+    again, among these.
     """
-    place = np.arange(len(words))
-    sample = np.flatnonzero(np.isin(place % period, cover) & (ends > place))
+    sampled = np.zeros(len(words), bool)
+    for residue in cover:
+        sampled[residue::period] = True
+    sample = np.flatnonzero(sampled & (ends > np.arange(len(words))))
     rank = np.zeros(len(words) + 1, np.int32)
     if not len(sample):
         return rank
-    rank[sample] = _dense(words[sample])
     covered, longest = 8, int((ends[sample] - sample).max())
-    while covered < longest:
+    keys = words[sample]
+    order = np.argsort(keys)
+    first, tied = _groups(keys[order])
+    at = sample[order]
+    rank[at] = first + 1
+    at = at[tied]
+    while covered < longest and len(at):
         shift = covered // period * period
-        ahead = sample + shift
-        inside = ahead < ends[sample]
-        second = np.where(inside, rank[np.minimum(ahead, len(words))], 0)
-        rank[sample] = _dense(rank[sample].astype(np.int64) * (len(words) + 2) + second)
+        ahead = at + shift
+        second = np.where(ahead < ends[at], rank[np.minimum(ahead, len(words))], 0)
+        keys = rank[at].astype(np.int64) * (len(words) + 2) + second
+        order = np.argsort(keys)
+        at = at[order]
+        first, tied = _groups(keys[order])
+        rank[at] += (first - _groups(rank[at])[0]).astype(np.int32)
+        at = at[tied]
         covered += shift
     return rank
 
@@ -117,7 +133,7 @@ def suffix_blocks(words: np.ndarray, ends: np.ndarray, wanted: np.ndarray, perio
         if not len(at):
             continue
         head = words[at] >> np.uint64(8 * (8 - min(period, 8)))
-        order = np.argsort(head, kind="stable")
+        order = np.argsort(head)
         at, head = at[order], head[order]
         new = np.ones(len(at), bool)
         new[1:] = head[1:] != head[:-1]
@@ -129,28 +145,27 @@ def suffix_blocks(words: np.ndarray, ends: np.ndarray, wanted: np.ndarray, perio
             top = np.int64(len(words) + 2)
             residue = at[tied] % period
             members = [tied[residue == r] for r in range(period)]
+            places = [at[m] for m in members]
+            groups = [group[m] * top for m in members]
             for a in range(period):  # count the members of residue a that come before each tied suffix
-                own = members[a]
-                if not len(own):
+                if not len(members[a]):
                     continue
-                d = shifts[a, a]
-                own = own[np.argsort(group[own] * top + rank[at[own] + d], kind="stable")]
+                order = np.argsort(groups[a] + rank[places[a] + shifts[a, a]])
+                members[a], places[a], groups[a] = members[a][order], places[a][order], groups[a][order]
                 for d in np.unique(shifts[a]):
-                    others = [b for b in range(period) if shifts[a, b] == d and len(members[b])]
-                    if not others:
-                        continue
-                    asks = np.concatenate([members[b] for b in others])
-                    keys = group[own] * top + rank[at[own] + d]
-                    less[asks] += np.searchsorted(keys, group[asks] * top + rank[at[asks] + d], side="left")
-            at = at[np.lexsort((less, group))]
+                    keys = groups[a] + rank[places[a] + d]
+                    for b in np.flatnonzero(shifts[a] == d):
+                        less[members[b]] += np.searchsorted(keys, groups[b] + rank[places[b] + d], side="left")
+            at[tied] = at[tied[np.argsort(group[tied] * top + less[tied])]]  # a group's places stay its own
         yield at
 
 
 def same_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether the suffixes at a and b have the first ``length`` bytes in common (both are that long)."""
-    out = np.ones(len(a), bool)
-    for o in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        out &= words[a + o] == words[b + o]
+    out = words[a] == words[b]
+    for o in [*range(8, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        still = np.flatnonzero(out)
+        out[still] = words[a[still] + o] == words[b[still] + o]
     return out
 
 
@@ -230,11 +245,13 @@ def _minimisers(pieces: list[tuple[int, int, bytes]], length: int, gram: int) ->
     sizes = np.array([len(p) for _, _, p in pieces], np.int64)
     ends = np.cumsum(sizes)
     n = int(ends[-1])
-    data = np.frombuffer(b"".join([p for _, _, p in pieces]) + b"\0" * 64, np.uint8)
-    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
-    hashes = np.zeros(n, np.uint64)
+    eight = _eight(np.frombuffer(b"".join([p for _, _, p in pieces]) + b"\0" * 64, np.uint8))
+    hashes = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
     for o in [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
-        hashes = mix64((hashes ^ eight[o : o + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(o + 1))
+        hashes ^= eight[o : o + n]
+        hashes *= np.uint64(0xD6E8FEB86659FD93)
+        hashes ^= hashes >> np.uint64(32)
+    hashes = mix64(hashes)
     # the position in the low bits: the leftmost of equal hashes, and the place of the smallest
     key = (hashes & ~np.uint64(_PIECE - 1)) | np.arange(n, dtype=np.uint64)
     width, span = length - gram + 1, 1
@@ -243,16 +260,19 @@ def _minimisers(pieces: list[tuple[int, int, bytes]], length: int, gram: int) ->
         span *= 2
     if span < width:
         key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
-    piece = np.repeat(np.arange(len(pieces)), sizes)[: len(key)]
-    start = np.arange(len(key))
-    real = start + length <= ends[piece]
-    start, piece, place = start[real], piece[real], (key[real] & np.uint64(_PIECE - 1)).astype(np.int64)
-    new = np.ones(len(start), bool)
-    new[1:] = (place[1:] != place[:-1]) | (piece[1:] != piece[:-1])
+    none = np.uint64(_NO_KEY)
+    for end in ends.tolist():
+        key[end - length + 1 : end] = none
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     run = np.flatnonzero(new)
-    number = np.array([k for k, _, _ in pieces])[piece[run]]
-    base = np.array([at for _, at, _ in pieces])[piece[run]]
-    return number, start[run] - (ends - sizes)[piece[run]] + base, np.diff(np.append(run, len(start))), hashes[place[run]]
+    size, key = np.diff(np.append(run, len(key))), key[run]
+    real = key != none
+    run, size, place = run[real], size[real], (key[real] & np.uint64(_PIECE - 1)).astype(np.int64)
+    piece = np.searchsorted(ends, run, side="right")
+    number = np.array([k for k, _, _ in pieces])[piece]
+    base = np.array([at for _, at, _ in pieces])[piece]
+    return number, run - (ends - sizes)[piece] + base, size, hashes[place]
 
 
 # -- the distributed operator ----------------------------------------------------------------------------

@@ -27,6 +27,26 @@ def test_suffix_order(rng, alphabet, block):
     assert suffixes == sorted(suffixes) and sorted(order) == sorted(wanted)
 
 
+def test_ranks_are_doubled_among_equals_only(rng, monkeypatch):
+    texts = [bytes(rng.randrange(1, 256) for _ in range(60)) for _ in range(200)]
+    texts += [texts[0], texts[0][:41], texts[7][20:]]
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes + 8) - (sizes + 8)
+    data = np.frombuffer(b"".join(t + b"\0" * 8 for t in texts) + b"\0" * 8, np.uint8)
+    words = S._words(data)
+    ends = np.zeros(len(words), np.int64)
+    ends[: len(data) - 8] = np.repeat(begins + sizes, sizes + 8)
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorts.append(len(x)) or plain(x, *a, **k))
+    rank = S.sample_ranks(words, ends, S.PERIOD, S.COVER)
+    sample = np.flatnonzero(rank)
+    assert list(sample) == [p for p in range(len(words)) if p % S.PERIOD in S.COVER and p < ends[p]]
+    suffixes = [data[p : ends[p]].tobytes() for p in sample]
+    place = {x: k for k, x in reversed(list(enumerate(sorted(suffixes))))}
+    assert [place[x] + 1 for x in suffixes] == list(rank[sample])
+    assert sorts[0] == len(sample) and sum(sorts[1:]) < len(sample) / 4
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER} == set(range(S.PERIOD))
 
@@ -46,6 +66,14 @@ def test_minimisers_cover_every_start(rng):
     assert all(first[p + 13] == second[p] for p in range(len(raws[4]) - 49))
 
 
+def test_minimisers_across_pieces(rng, monkeypatch):
+    raws = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (600, 49, 2000, 50, 511, 512, 513)]
+    whole, of = S.minimisers(raws), lambda n, s, c, h: {(int(k), int(p) + j): int(v) for k, p, q, v in zip(n, s, c, h) for j in range(q)}
+    monkeypatch.setattr(S, "_PIECE", 512)
+    cut = S.minimisers(raws)
+    assert of(*whole) == of(*cut) and int(cut[2].sum()) == sum(max(0, len(r) - 49) for r in raws)
+
+
 def brute(rows):
     order = sorted({r[0] if r[0] is not None else S._NULL_ID for r in rows})
     seen: set[bytes] = set()
