@@ -91,3 +91,15 @@ def test_overlaps_meet_as_distinct_intervals(spark, monkeypatch):
         for size in (3, 10, 10_000):
             assert sorted((tuple(r) for r in intervals.overlaps(a, b, size).collect()), key=key) == want
     assert intervals.gathered(a.where("start < end")).selectExpr("max(size(names))").first()[0] == 2
+
+
+def test_overlaps_hold_the_pairs_of_one_name_at_a_time(spark):
+    rows = [("c", 0, 9, f"n{k}") for k in range(40)] + [("c", 5, 12, None), ("c", 20, 30, "far")]
+    a = spark.createDataFrame(rows, "chromo string, start long, end long, name string")
+    found = intervals.overlaps(a, a, 10)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (join,) = [k for k, x in enumerate(lines) if "Join Inner" in x]
+    # what one row of the join's left side gives stays in memory until its last pair, so only one list may be expanded above it
+    assert [x for x in lines[:join] if "Generate explode" in x and "a_name" in x.split("explode(")[1].split(")")[0]] == []
+    assert len([x for x in lines[:join] if "Generate explode" in x]) == 1
+    assert found.count() == 41 * 41 + 1
